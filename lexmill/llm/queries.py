@@ -51,13 +51,25 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_dedup
 
     return near_dedup(read(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_quality, op5_lm_scoring, op8_source_mixing, op9_byte_bpe, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_exact_dedup, op3_toxicity, op4_quality, op5_lm_scoring, op6_personal_data, op7_near_vectors, op8_source_mixing, op9_byte_bpe, op10_minhash)}
 
 OP1_SQL = r"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
