@@ -26,41 +26,55 @@ THRESHOLD = 0.5
 LABELLERS = ("repeats", "symbols", "variety", "capitals", "letterless", "marked ends", "sentences", "top word", "word length", "short words")
 
 
+#: Words that a worker remembers.
+REMEMBERED = 300_000
+
+
 class Shapes(dict):
-    """For a word: (hash of its shape, letters, symbols, all capitals, marked end, sentence end, length)."""
+    """Rows of a table by word: hash of its shape, letters, symbols, all capitals, marked end, sentence end, length."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros((4096, 7), np.int64)
+
+    def __missing__(self, word: str) -> int:
         letters = sum(map(str.isalpha, word))
         symbols = len(word) - sum(map(str.isalnum, word))
         folded = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         shape = re.sub(r"(.)\1+", r"\1\1", folded) if letters < len(word) else re.sub(r"(.)\1+", r"\1", folded)
         end = len(word) > 2 and not word[-1].isalnum() and word[-1] == word[-2]
-        got = self[word] = (zlib.crc32(shape[:24].encode()), letters, symbols, int(letters > 1 and word.isupper()), int(end or (symbols > 0 and word[-1] in "#$%&*|~^@")), int(word[-1] in ".!?" and not end), len(word))
-        return got
+        at = self[word] = len(self)
+        if at >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = (zlib.crc32(shape[:24].encode()), letters, symbols, int(letters > 1 and word.isupper()), int(end or (symbols > 0 and word[-1] in "#$%&*|~^@")), int(word[-1] in ".!?" and not end), len(word))
+        return at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def measures(text: str | None, shapes: Shapes) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rates that labellers look at, and hashed features; none for a text without words."""
+def measures(text: str | None, shapes: Shapes, hashed: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rates that labellers look at, and hashed features if wanted; none for a text without words."""
     w = (text or "").split()
     n = len(w)
     if not n:
         return None
-    table = np.array([shapes[x] for x in w], np.int64)
-    counts: dict[str, int] = {}
-    for x in w:
-        counts[x] = counts.get(x, 0) + 1
-    same = np.fromiter((a == b for a, b in zip(w, w[1:])), bool, n - 1)
-    chars = table[:, 6].sum()
-    rates = np.array([same.sum() / n, table[:, 2].sum() / chars, len(counts) / n, table[:, 3].sum() / n, (table[:, 1] == 0).sum() / n, table[:, 4].sum() / n, table[:, 5].sum() / n, max(counts.values()) / n, chars / n, (table[:, 6] <= 3).sum() / n, n])
+    at = shapes.rows(w)
+    table = shapes.table[at]
+    same = at[1:] == at[:-1]
+    counts = np.unique(at, return_counts=True)[1]
+    sums = table.sum(0)
+    chars = sums[6]
+    rates = np.array([same.sum() / n, sums[2] / chars, len(counts) / n, sums[3] / n, (table[:, 1] == 0).sum() / n, sums[4] / n, sums[5] / n, counts.max() / n, chars / n, (table[:, 6] <= 3).sum() / n, n])
+    if not hashed:
+        return rates, rates
     s = table[:, 0]
     pair = (s[:-1] * 1_000_003 + s[1:] + 977 * same) % 2_147_483_647
     edges = np.array([zlib.crc32(b"%d/%d" % (k, min(9, int(v * 10)))) for k, v in enumerate(rates[:8])])
-    x = np.zeros(HASHED, np.float32)
-    for at, weight in ((s % HASHED, 1 / n), (pair % HASHED, 1 / n), (edges % HASHED, 0.25)):
-        x += np.bincount(at, minlength=HASHED).astype(np.float32) * np.float32(weight)
-    return rates, np.sqrt(x)
+    x = (np.bincount(s % HASHED, minlength=HASHED) + np.bincount(pair % HASHED, minlength=HASHED)) / np.float32(n) + np.bincount(edges % HASHED, minlength=HASHED) * np.float32(0.25)
+    return rates, np.sqrt(x, dtype=np.float32, casting="same_kind")
 
 
 def votes(r: np.ndarray) -> str:
@@ -125,7 +139,7 @@ def fit(docs: DataFrame, text_col: str, max_training: int = MAX_TRAINING) -> tup
 
     def pattern_of():
         shapes = Shapes()
-        return lambda texts: [[votes(m[0]) if (m := measures(t, shapes)) else None for t in texts]]
+        return lambda texts: [[votes(m[0]) if (m := measures(t, shapes, False)) else None for t in texts]]
 
     counts = {r["v"]: r["n"] for r in arrow_map(docs, [text_col], "v string", pattern_of).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).collect()}
     posterior, *_ = expectation_maximisation(counts)
