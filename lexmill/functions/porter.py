@@ -23,7 +23,8 @@ STEP_2 = [(M_OVER_0, a, b) for a, b in (
     ("iviti", "ive"), ("biliti", "ble"),
 )]
 STEP_3 = [(M_OVER_0, a, b) for a, b in (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))]
-STEP_4 = [(M_OVER_1 + ".*[st]$" if a == "ion" else M_OVER_1, a, "") for a in (
+M_OVER_1_ST = f"^{_H}{_C}{_V}(?:{_C}.*)?[st]$"
+STEP_4 = [(M_OVER_1_ST if a == "ion" else M_OVER_1, a, "") for a in (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
     "ous", "ive", "ize",
 )]
