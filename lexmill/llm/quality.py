@@ -2,7 +2,7 @@
 
 Each labeller votes good, bad or nothing on a document. The counts of vote patterns over all documents (3 to the power
 of the labellers at most) are all that expectation-maximisation needs: for either class it estimates how often each
-labeller casts each vote. The posterior of a pattern labels its documents, and on those a linear scorer is trained over
+labeller casts each vote, within a bound on bad votes for good documents. The posterior of a pattern labels its documents, and on those a linear scorer is trained over
 hashed features of word shapes; it alone decides. No label of any table is used.
 """
 
@@ -26,6 +26,9 @@ THRESHOLD = 0.5
 LABELLERS = ("repeats", "symbols", "variety", "capitals", "letterless", "marked ends", "sentences", "top word", "word length", "short words")
 
 
+#: A labeller calls good documents bad this often at most. Kinds of junk that few labellers see would otherwise pass for
+#: good ones, as the votes of one class are taken to be independent.
+MOST_WRONG = 0.004
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 
@@ -111,6 +114,9 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tup
         prior = float((post @ n + 1) / (n.sum() + 2))
         table = np.stack([((p * n)[:, None, None] * one).sum(0) + s for p, s in ((post, [0.5, 0.01, 0.2]), (1 - post, [0.5, 0.5, 0.2]))])
         table /= table.sum(2, keepdims=True)
+        wrong = np.minimum(table[0, :, 1], MOST_WRONG)
+        table[0] *= ((1 - wrong) / np.maximum(1 - table[0, :, 1], 1e-12))[:, None]
+        table[0, :, 1] = wrong
         log = [np.log(q) + (one * np.log(t)).sum((1, 2)) for q, t in ((prior, table[0]), (1 - prior, table[1]))]
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
         if np.abs(new - post).max() < 1e-9:
