@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,17 +25,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one is set here only if the session names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from there.
+    """Write df to the cluster's checkpoint folder and go on from there; executors may go at any time afterwards.
 
-    Executors may go at any time afterwards. A folder is set here only if the session names none.
+    For narrow tables: rows are written as they are in memory. Spark removes them when nothing refers to them, if so set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, for wide tables, and its path, to be removed by the caller."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    if path is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def arrow_map(df: DataFrame, cols: list[str | Column], schema: T.StructType | str, make: Callable[[], Callable[..., list]]) -> DataFrame:
     """Map slices of rows in Python workers, Arrow in and out.
 
@@ -80,29 +100,34 @@ def without(rows: DataFrame, dropped: DataFrame, id_col: str, row_bytes: int = 6
     return rows.join(gone, rows[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = 200_000) -> DataFrame:
     """Connected components of edges (a, b: long) by alternating large and small stars.
 
     Minima are pre-aggregated before each shuffle and joined back, so that a node with very many neighbours is split
     like any skewed join key. Returns (node, root), root the least node of the component; nodes without an edge to
-    another node are left out. Self-loops and repeated edges do no harm. Every round is cut.
+    another node are left out. Self-loops and repeated edges do no harm. Every round is cut. Between shuffles a task
+    takes about edges_a_task edges, so that a small graph isn't dealt over as many files as the corpus.
     """
+    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tasks = max(8, now.count() // edges_a_task + 1)
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(tasks)
 
     def minima(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m"))
+        return few(e.groupBy("a").agg(F.min("b").alias("m")))
 
-    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    now, before = few(now), None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(minima(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = few(few(both.join(minima(both), "a")).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
         low = minima(large)
-        star = large.join(low, "a")
-        now = cut(star.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
+        star = few(large.join(low, "a"))
+        now = cut(few(star.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct()))
         at = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if at == before:
             break
         before = at
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

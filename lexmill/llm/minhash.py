@@ -11,9 +11,11 @@ class has is a place skipped without posting: a class with fewer than `least` sh
 is posted are the rarest shared tokens, so a line that half the corpus has is almost never among them.
 
 A posting list is never expanded into its pairs while one comparison with a leader may join its members: some rounds
-compare each member with one leader of its list, and members that are in one component by then need no comparison
-with each other. Only then the pairs of different components that are left in a list are taken. Candidates whose
-signatures agree in `least` coordinates are confirmed on the full sets.
+compare each member with one leader, if their signatures agree in `least` coordinates, on the full sets. Members that
+are in one component by then need no comparison with each other. In the lists whose members are still apart, signatures
+are searched breadth first for candidates between components; a task returns no more candidates than a forest of them
+has. The trees of that forest, which hold only sets that look alike, are compared exactly in blocks: a task holds the
+full sets of two blocks and returns no more links than join what was apart.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +36,9 @@ COORDINATES = 64
 LEAST = 38
 #: Sets up to LITTLE shingles post these; sets from LARGE shingles post signatures. LARGE <= 0.8 * LITTLE.
 LITTLE, LARGE = 40, 32
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 1
+#: Classes in a block of signatures, and in a block of full sets.
+SIGNED_BLOCK, BLOCK = 8192, 512
 #: Words whose hash a worker remembers.
 REMEMBERED = 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +63,7 @@ def shingle_set(text: str | None, width: int, known: Words) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(width, len(words))
     acc = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
@@ -84,25 +90,29 @@ def _name(s: np.ndarray) -> bytes:
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(row, doc_id, n, digest, large, little): size, digest and tokens of every document's set; cut."""
+    """(row, doc_id, n, digest, large, little, brief): size, digest and tokens of every document's set; cut.
+
+    brief holds 16 bits of each coordinate: enough to look for candidates.
+    """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def make():
         known, family = Words(), _family(COORDINATES)
 
         def run(ids, texts):
-            n, digest, large, little = [], [], [], []
+            n, digest, large, little, brief = [], [], [], [], []
             for text in texts:
                 s = shingle_set(text, width, known)
                 n.append(len(s))
                 digest.append(_name(s) if len(s) else None)
                 large.append(signature(s, family) if len(s) >= LARGE else None)
                 little.append(mixed(s + np.uint64(1)).view(np.int64) if 0 < len(s) <= LITTLE else None)
-            return [ids, n, digest, large, little]
+                brief.append(None if large[-1] is None else large[-1].astype(np.int16).tobytes())
+            return [ids, n, digest, large, little, brief]
 
         return run
 
-    got = arrow_map(docs, [id_col, text_col], f"doc_id {kind}, n long, digest binary, large array<long>, little array<long>", make)
+    got = arrow_map(docs, [id_col, text_col], f"doc_id {kind}, n long, digest binary, large array<long>, little array<long>, brief binary", make)
     return cut(got.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -117,38 +127,39 @@ def postings(classes: DataFrame, share: float) -> DataFrame:
     return cut(taken.select("node", "n", F.explode(F.expr("slice(t, 1, k)")).alias("p")).select("node", "n", "p.token").distinct())
 
 
-class Sets:
-    """Full sets of the classes that may have a partner, made anew from their texts."""
+def confirm(docs: DataFrame, id_col: str, text_col: str, width: int, names: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """Of pairs (a, b) those with 100 * intersection >= similarity * union of their full sets; cut.
+
+    Sets are made anew from the texts: a's with its partner's name beside it, b's once, and both meet at b. names:
+    (node, least_id, digest). The wanted documents are marked at the map side if their count allows it.
+    """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame):
-        """wanted: (node, doc_id, digest)."""
-        wanted = cut(wanted.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("node").alias("__node")))
-        side = F.broadcast(wanted) if small(wanted, 96) else wanted
+    def sets(wanted: DataFrame, keep: str, kind: str, out: str) -> DataFrame:
+        wanted = cut(wanted.select(F.col("least_id").alias("__id"), F.col("digest").alias("__digest"), F.col(keep).alias("__keep")))
+        side = F.broadcast(wanted) if small(wanted, 128) else wanted
         rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(side, F.col("__doc").eqNullSafe(F.col("__id")))
 
         def make():
             known = Words()
 
-            def run(texts, digests, nodes):
-                out = [[], []]
-                for text, digest, node in zip(texts, digests, nodes, strict=True):
+            def run(texts, digests, kept):
+                got = [[], []]
+                for text, digest, k in zip(texts, digests, kept, strict=True):
                     s = shingle_set(text, width, known)
                     if _name(s) == digest:  # another text may have the same id
-                        out[0].append(node)
-                        out[1].append(s.view(np.int64))
-                return out
+                        got[0].append(k)
+                        got[1].append(s.view(np.int64))
+                return got
 
             return run
 
-        self.table = cut(arrow_map(rows, ["__text", "__digest", "__node"], "node long, set array<long>", make).dropDuplicates(["node"]))
+        return arrow_map(rows, ["__text", "__digest", "__keep"], f"{keep} {kind}, {out} array<long>", make)
 
-    def confirm(self, pairs: DataFrame, similarity: int) -> DataFrame:
-        """Of (a, b) those with 100 * intersection >= similarity * union."""
-        a = self.table.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-        b = self.table.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        met = pairs.join(b, "b").join(a, "a")
-        return met.where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    ours = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("partners")).join(names, "node").withColumn("of", F.struct(F.col("node").alias("a"), F.col("partners").alias("b")))
+    a = sets(ours, "of", "struct<a:long,b:array<long>>", "sa").select(F.col("of.a").alias("a"), F.explode("of.b").alias("b"), "sa")
+    b = sets(pairs.select(F.col("b").alias("node")).distinct().join(names, "node"), "node", "long", "sb")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return cut(a.join(b.withColumnRenamed("node", "b"), "b").where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
@@ -177,46 +188,245 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _components(docs, id_col, text_col, width, similarity, rows, names, posts) -> DataFrame:
+    """(node, root) of linked classes.
+
+    In each leader round a class is compared with one leader, that with which it meets in the most lists among those
+    of other components. What is still apart after them is compared pair by pair.
+    """
     share = similarity / 100
     spark = docs.sparkSession
-    nodes = posts.select("node").distinct()
-    sets = Sets(docs, id_col, text_col, width, names.join(nodes, "node").select("node", F.col("least_id").alias("doc_id"), "digest"))
-    signs = cut(rows.where("large is not null").select(F.col("row").alias("node"), "large").join(nodes, "node", "left_semi"))
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested = none, none
+    names = cut(names.join(posts.select("node").distinct(), "node", "left_semi"))
+    signs = cut(rows.where("large is not null").select(F.col("row").alias("node"), "large").join(names, "node", "left_semi"))
+    links = tested = spark.createDataFrame([], "a long, b long")
     linked = spark.createDataFrame([], "node long, root long")
     open_ = posts.withColumn("root", F.col("node"))
-
-    def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Candidates not tested before, and those of them that are links."""
-        pairs = pairs.where((F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9))
-        fresh = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("low")).distinct().join(tested, ["a", "b"], "left_anti"))
-        agree = F.size(F.filter(F.arrays_zip("x", "y"), lambda z: z["x"] == z["y"]))
-        signed = fresh.where(F.col("low") > LITTLE).join(signs.select(F.col("node").alias("a"), F.col("large").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("large").alias("y")), "b").where(agree >= LEAST)
-        likely = signed.select("a", "b").unionByName(fresh.where(F.col("low") <= LITTLE).select("a", "b"))
-        return fresh.select("a", "b"), cut(sets.confirm(likely, similarity))
-
-    for turn in range(LEADER_ROUNDS + 1):
-        lists = open_.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root")).alias("lead")).where("r0 != r1")
-        if turn < LEADER_ROUNDS:
-            pairs = open_.join(lists, "token").where(F.col("root") != F.col("lead.root")).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
-        else:
-            a = open_.join(lists.select("token"), "token").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            pairs = a.join(a.select("token", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb")), "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-        fresh, got = settle(pairs)
-        tested = tested.unionByName(fresh)
+    near = (F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9)
+    agree = F.size(F.filter(F.arrays_zip("x", "y"), lambda z: z["x"] == z["y"]))
+    for turn in range(LEADER_ROUNDS):
+        lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), F.xxhash64("node", F.lit(turn)).alias("g"), "node", "n", "root")).alias("lead"))
+        met = open_.join(lead, "token").where(F.col("root") != F.col("lead.root")).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
+        met = met.where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).join(tested, ["a", "b"], "left_anti")
+        pairs = cut(met.groupBy("a").agg(F.max(F.struct("k", "b", "na", "nb")).alias("m")).select("a", "m.b", F.least("m.na", "m.nb").alias("low")))
+        signed = pairs.where(F.col("low") > LITTLE).join(signs.select(F.col("node").alias("a"), F.col("large").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("large").alias("y")), "b").where(agree >= LEAST)
+        likely = cut(signed.select("a", "b").unionByName(pairs.where(F.col("low") <= LITTLE).select("a", "b")))
+        got = confirm(docs, id_col, text_col, width, names, likely, similarity)
+        tested = tested.unionByName(pairs.select("a", "b"))
         if not got.isEmpty():
             links = links.unionByName(got)
             linked = components(links)
-        elif turn < LEADER_ROUNDS:
-            continue
-        if turn == LEADER_ROUNDS:
-            break
-        joined = open_.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = cut(joined.join(joined.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token"), "token", "left_semi"))
+        joined = posts.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = joined.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
+        open_ = cut(joined.join(apart, "token", "left_semi"))
         if open_.isEmpty():
-            break
-    return linked
+            return linked
+    forest = cut(candidate_forest(rows, names, open_, similarity))
+    if forest.isEmpty():
+        return linked
+    got = cut(compare_blocks(docs, id_col, text_col, width, names, components(forest), open_.select("node", "root").distinct(), similarity))
+    return linked if got.isEmpty() else components(links.unionByName(got))
+
+
+class Forest:
+    """Union-find over any numbers."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = x = self.parent.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with (i, j), for every pair of the blocks, of `size` rows each, of a key; a key of one block isn't repeated."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / float(size)).cast("int").alias("blocks"))
+    laid = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), "blocks").cast("int"))
+    one = laid.where("blocks = 1").withColumns({"i": F.lit(0), "j": F.lit(0)})
+    more = laid.where("blocks > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return one.unionByName(more.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o")).drop("blocks")
+
+
+def forest_of_candidates(node, root, n, block, brief, little: dict[int, np.ndarray], similarity: int) -> list[tuple[int, int]]:
+    """Breadth first over one list: edges between candidates of different components, as many as a forest has.
+
+    Arrays by member; little: tokens of little sets by place. Members of two blocks are compared across these alone.
+    """
+    share, out = similarity / 100, []
+    if (root == root[0]).all():
+        return out
+    posts: dict[int, list[int]] = {}
+    for k, tokens in little.items():
+        for t in tokens.tolist():
+            posts.setdefault(t, []).append(k)
+    crossed = (block != block[0]).any()
+    waiting = np.arange(len(node))
+    queue: list[int] = []
+    while len(waiting):
+        if not queue:
+            queue.append(int(waiting[0]))
+            waiting = waiting[1:]
+        x = queue.pop()
+        fits = (root[waiting] != root[x]) & (n[waiting] >= share * n[x] - 1e-9) & (share * n[waiting] <= n[x] + 1e-9)
+        if crossed:
+            fits &= block[waiting] != block[x]
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        other = waiting[at]
+        hit = (brief[other] == brief[x]).sum(1) >= LEAST
+        if n[x] <= LITTLE:
+            both = np.zeros(len(node), np.int64)
+            for t in little[x].tolist():
+                both[posts[t]] += 1
+            small_ = n[other] <= LITTLE
+            hit[small_] = (100 * both[other] >= similarity * (n[other] + n[x] - both[other]))[small_]
+        found = other[hit]
+        if len(found):
+            keep = np.ones(len(waiting), bool)
+            keep[at[hit]] = False
+            waiting = waiting[keep]
+            queue.extend(found.tolist())
+            out.extend((int(node[x]), int(node[y])) for y in found)
+    return out
+
+
+def candidate_forest(rows: DataFrame, names: DataFrame, open_: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): candidates of different components that share a list of open_, as many as spanning forests have.
+
+    Large sets are candidates if their signatures agree; two little ones if they are links, which their tokens tell.
+    Lists are dealt by token and read in order, a list (or two blocks of a long one) at a time.
+    """
+    tokens = rows.select(F.col("row").alias("node"), "brief", "little").join(names.select("node"), "node", "left_semi")
+    laid = in_blocks(open_, "token", SIGNED_BLOCK).join(tokens, "node").select("token", "i", "j", "block", "node", "root", "n", "brief", "little")
+    dealt = laid.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    empty = b"\0" * (2 * COORDINATES)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def search(table: pa.Table) -> pa.RecordBatch:
+            cols = {c: table[c].to_numpy() for c in ("token", "i", "j", "block", "node", "root", "n")}
+            brief = np.frombuffer(b"".join(x or empty for x in table["brief"].to_pylist()), np.int16).reshape(-1, COORDINATES)
+            little = table["little"].to_pylist()
+            change = np.flatnonzero((np.diff(cols["token"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)) + 1
+            out = []
+            for low, high in zip([0, *change], [*change, table.num_rows], strict=True):
+                own = {k - low: np.array(little[k]) for k in range(low, high) if little[k] is not None}
+                out += forest_of_candidates(*(cols[c][low:high] for c in ("node", "root", "n", "block")), brief[low:high], own, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        def last_list(batch: pa.RecordBatch) -> int:
+            """Where the batch's last list begins."""
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(0))
+            return int(other[-1]) + 1 if len(other) else 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = last_list(batch)
+            if held and (at or [c[-1].as_py() for c in held[-1].columns[:3]] != [c[0].as_py() for c in batch.columns[:3]]):
+                yield search(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            elif at:
+                yield search(pa.Table.from_batches([batch.slice(0, at)]))
+            held.append(batch.slice(at))
+        if held:
+            yield search(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def compare_blocks(docs, id_col, text_col, width, names, trees, roots, similarity) -> DataFrame:
+    """Links (a, b) that join components, found by comparing all of a tree: trees (node, root), roots (node, root).
+
+    The work grows with the square of a tree of look-alikes that are no links, in tasks of two blocks; nothing of a
+    pair but a joining link leaves its task.
+    """
+    placed = in_blocks(trees.withColumnRenamed("root", "tree").join(roots, "node"), "tree", BLOCK)
+    pairs = placed.groupBy("node", "root", "tree", "block").agg(F.collect_list(F.struct("i", "j")).alias("pairs")).join(names, "node")
+    of = cut(pairs.select(F.col("least_id").alias("__id"), F.col("digest").alias("__digest"), F.struct("node", "root", "tree", "block", "pairs").alias("__of")))
+    side = F.broadcast(of) if small(of, 512) else of
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(side, F.col("__doc").eqNullSafe(F.col("__id")))
+    kind = of.schema["__of"].dataType.simpleString()
+
+    def make():
+        known = Words()
+
+        def run(texts, digests, ofs):
+            got = [[], []]
+            for text, digest, o in zip(texts, digests, ofs, strict=True):
+                s = shingle_set(text, width, known)
+                if _name(s) == digest:  # another text may have the same id
+                    got[0].append(o)
+                    got[1].append(s.tobytes())
+            return got
+
+        return run
+
+    sets = arrow_map(rows, ["__text", "__digest", "__of"], f"of {kind}, set binary", make)
+    laid = sets.select("of.node", "of.root", "of.tree", "of.block", F.explode("of.pairs").alias("p"), "set").select("node", "root", "tree", "block", "p.i", "p.j", "set")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        a, b = pdf[pdf["block"] == pdf["i"].iloc[0]], pdf[pdf["block"] == pdf["j"].iloc[0]]
+        linked = linked_pairs([np.frombuffer(s, np.uint64) for s in a["set"]], [np.frombuffer(s, np.uint64) for s in b["set"]], similarity)
+        ra, rb, na, nb = (x.to_numpy() for x in (a["root"], b["root"], a["node"], b["node"]))
+        forest = Forest()
+        out = [(na[x], nb[y]) for x, y in np.argwhere(linked & (ra[:, None] != rb[None, :])) if forest.join(int(ra[x]), int(rb[y]))]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return laid.groupBy("tree", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def linked_pairs(a: list[np.ndarray], b: list[np.ndarray], similarity: int) -> np.ndarray:
+    """Whether 100 * intersection >= similarity * union, for every set of a with every set of b; sets hold no repeats."""
+    if not a or not b:
+        return np.zeros((len(a), len(b)), bool)
+    sa, sb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+    in_a, in_b = np.unique(np.concatenate(a), return_counts=True), np.unique(np.concatenate(b), return_counts=True)
+    common, ka, kb = np.intersect1d(in_a[0], in_b[0], assume_unique=True, return_indices=True)
+    both = np.zeros((len(a), len(b)), np.int64)
+    if not len(common):
+        return both > 0
+    often = (in_a[1][ka] * in_b[1][kb]) > (len(a) * len(b)) // 64
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of the matrix of sets by common shingles."""
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, every), len(common) - 1)
+        good = common[at] == every
+        return owner[good], at[good]
+
+    (ra, ca), (rb, cb) = entries(a), entries(b)
+    dense = np.flatnonzero(often)
+    place = np.full(len(common), -1)
+    for start in range(0, len(dense), 4096):  # what many hold, by matrix products; float32 is exact far beyond such counts
+        some = dense[start : start + 4096]
+        place[:] = -1
+        place[some] = np.arange(len(some))
+        ma, mb = np.zeros((len(a), len(some)), np.float32), np.zeros((len(b), len(some)), np.float32)
+        for m, r, c in ((ma, ra, ca), (mb, rb, cb)):
+            k = place[c] >= 0
+            m[r[k], place[c[k]]] = 1
+        both += (ma @ mb.T).astype(np.int64)
+    ka, kb = ~often[ca], ~often[cb]  # what few hold, by meeting at the shingle
+    if ka.any() and kb.any():
+        ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
+        order = np.argsort(cb, kind="stable")
+        rb, cb = rb[order], cb[order]
+        low, high = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
+        count = high - low
+        left = np.repeat(ra, count)
+        right = rb[np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+        both += np.bincount(left * len(b) + right, minlength=both.size).reshape(both.shape)
+    return 100 * both >= similarity * (sa[:, None] + sb[None, :] - both)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
