@@ -89,12 +89,12 @@ def votes(r: np.ndarray) -> str:
 
     return "".join((
         vote(repeats < 0.03, n >= 8 and repeats > 0.15),
-        vote(symbols < 0.06, symbols > 0.15),
+        vote(symbols < 0.06, n >= 20 and symbols > 0.15),
         vote(n < 60 or variety > 0.4, n >= 60 and variety < 0.15),
         vote(capitals < 0.1, n >= 8 and capitals > 0.4),
-        vote(bare < 0.03, bare > 0.2),
+        vote(bare < 0.03, n >= 20 and bare > 0.2),
         vote(marked < 0.03, marked > 0.2),
-        vote(0.01 <= ends <= 0.3, n >= 60 and (ends < 0.002 or ends > 0.5)),
+        vote(0.01 <= ends <= 0.4, n >= 60 and (ends < 0.002 or ends > 0.5)),
         vote(top < 0.15, n >= 20 and top > 0.3),
         vote(2.5 <= length <= 12, length < 1.8 or length > 20),
         vote(0.1 <= short <= 0.6, n >= 20 and (short < 0.02 or short > 0.9)),
@@ -102,21 +102,23 @@ def votes(r: np.ndarray) -> str:
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
-    """Posterior of good for each pattern, P(vote | class) as class x labeller x (g, b, -), and the prior of good."""
+    """Posterior of good for each pattern, P(vote | class, a vote is cast) as class x labeller x (g, b), and the prior of good.
+
+    No vote tells nothing.
+    """
     keys = sorted(patterns)
     if not keys:
-        return {}, np.zeros((2, 0, 3)), 0.5
-    one = np.array([[["gb-".index(c) == v for v in range(3)] for c in k] for k in keys], float)
+        return {}, np.zeros((2, 0, 2)), 0.5
+    one = np.array([[["gb".find(c) == v for v in range(2)] for c in k] for k in keys], float)
     n = np.array([patterns[k] for k in keys], float)
     bad = one[:, :, 1].sum(1)
     post = np.where(bad > 0, 0.15, 0.95)  # where to start: any bad vote is a reason for doubt
     for _ in range(rounds):
         prior = float((post @ n + 1) / (n.sum() + 2))
-        table = np.stack([((p * n)[:, None, None] * one).sum(0) + s for p, s in ((post, [0.5, 0.01, 0.2]), (1 - post, [0.5, 0.5, 0.2]))])
+        table = np.stack([((p * n)[:, None, None] * one).sum(0) + s for p, s in ((post, [0.5, 0.01]), (1 - post, [0.5, 0.5]))])
         table /= table.sum(2, keepdims=True)
-        wrong = np.minimum(table[0, :, 1], MOST_WRONG)
-        table[0] *= ((1 - wrong) / np.maximum(1 - table[0, :, 1], 1e-12))[:, None]
-        table[0, :, 1] = wrong
+        table[0, :, 1] = np.minimum(table[0, :, 1], MOST_WRONG)
+        table[0, :, 0] = 1 - table[0, :, 1]
         log = [np.log(q) + (one * np.log(t)).sum((1, 2)) for q, t in ((prior, table[0]), (1 - prior, table[1]))]
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
         if np.abs(new - post).max() < 1e-9:
@@ -125,15 +127,13 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tup
     return dict(zip(keys, post.tolist(), strict=True)), table, prior
 
 
-def train_linear(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression to soft labels, both classes of equal weight; the last entry is the intercept."""
+def train_linear(x: np.ndarray, y: np.ndarray, steps: int = 500, l2: float = 1e-5) -> np.ndarray:
+    """Logistic regression to soft labels; the last entry is the intercept."""
     w = np.zeros(x.shape[1] + 1)
-    weight = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
-    weight /= weight.sum()
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
-        d = (weight * (p - y)).astype(np.float32)
+        d = ((p - y) / len(y)).astype(np.float32)
         g = np.append(x.T @ d + l2 * w[:-1], d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
