@@ -24,8 +24,8 @@ def text_or_empty(c: Column) -> Column:
 def prose_words(text: Column, stop: bool = True) -> Column:
     """Lower-case words of letters a-z and digits, two characters at least, without stop words; repeats stay."""
     words = F.split(F.lower(text_or_empty(text)), "[^a-z0-9]+")
-    banned = F.array(*(F.lit(w) for w in sorted(EFFECTIVE_STOP_WORDS))) if stop else None
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(banned, w) if stop else F.length(w) >= 2)
+    banned = sorted(EFFECTIVE_STOP_WORDS)  # so many literals become a hash set
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*banned) if stop else F.length(w) >= 2)
 
 
 def name_parts(token: Column) -> Column:

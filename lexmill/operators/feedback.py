@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ALPHA, BETA, FEEDBACK_ROUNDS, GAMMA, PSEUDO_RELEVANT
+from ..functions.durable import cut
 from .index import Index
 from .search import query_terms, rerank, score_vectors
 
@@ -54,7 +55,6 @@ def feedback_loop(queries: DataFrame, index: Index, judge: Callable[[DataFrame,
 
     for k in range(rounds):
         new = judge(results(), k).select("query_id", "doc_id", "relevant")
-        judgments = (new if judgments is None else judgments.unionByName(new)).distinct()
-        judgments = judgments.checkpoint() if judgments.sparkSession.sparkContext.getCheckpointDir() else judgments
+        judgments = cut((new if judgments is None else judgments.unionByName(new)).distinct())
         vectors = rocchio(original, judgments, index)
     return results()

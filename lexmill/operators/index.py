@@ -26,7 +26,8 @@ class Index:
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
         n = [files] if files else []
         self.postings.repartitionByRange(*n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings_by_term")
-        self.postings.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(f"{path}/postings_by_doc")
+        scored = self.postings.sparkSession.read.parquet(f"{path}/postings_by_term")  # not to be scored again
+        scored.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(f"{path}/postings_by_doc")
 
     @classmethod
     def read(cls, spark, path: str, by: str = "term") -> Index:
@@ -76,20 +77,18 @@ def build_index(corpus: DataFrame, stem: bool = True, stop: bool = True, title_f
     title_factor where the term is in the title, which itself isn't indexed. N and the mean length count documents
     without terms, too. Terms are shuffled once, by term, for their document frequencies.
     """
-    terms = document_terms(corpus, stem, stop)
-    stats = corpus.agg(F.count("*").alias("n_docs"))
     if not stem:
         words = F.array_distinct(F.concat(prose_words(F.col("prose_text"), stop), code_words(F.col("code_text"))))
         rows = corpus.select("id", words.alias("terms"), F.array_distinct(prose_words(F.col("title"), stop)).alias("title_terms"))
-        lengths = rows.agg(F.sum(F.size("terms")).alias("total"))
         postings = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"), "title_terms").withColumn("in_title", F.array_contains("title_terms", F.col("term"))).drop("title_terms")
     else:
-        lengths = terms.agg(F.count("*").alias("total"))
+        terms = document_terms(corpus, stem, stop)
         dl = terms.groupBy("id").agg(F.count("*").alias("dl"))
         titles = title_terms(corpus, stem, stop).withColumn("in_title", F.lit(True))
         postings = terms.join(dl, "id").join(titles, ["id", "term"], "left").withColumn("in_title", F.coalesce("in_title", F.lit(False)))
-    stats = stats.crossJoin(lengths).select("n_docs", (F.coalesce("total", F.lit(0)) / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # As a term counts once a document, document frequencies add up to all lengths.
+    stats = corpus.agg(F.count("*").alias("n_docs")).crossJoin(df.agg(F.sum("df").alias("total"))).select("n_docs", (F.coalesce("total", F.lit(0)) / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     n = F.col("n_docs").cast("double")
     norm = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

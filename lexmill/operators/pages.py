@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import HOSTS, JUNK_TITLES, MDN_UNWANTED, PYTHON_UNWANTED, STATIC_FILES, THIN_CODE, THIN_PROSE
+from ..functions.durable import cut
 from ..functions.html import page_parts
 
 
@@ -75,13 +76,13 @@ def crawl(pages: DataFrame, seeds: list[str], depth: int = 10, hosts: tuple[str,
     spark = pages.sparkSession
     if "content_type" in pages.columns:
         pages = pages.where(F.contains(F.lower("content_type"), F.lit("html")))
-    site = extract_pages(pages.select("url", "html").dropDuplicates(["url"])).persist()
+    site = cut(extract_pages(pages.select("url", "html").dropDuplicates(["url"])).drop("html"))  # parsed once
     frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
     visited, found = frontier, None
     for hop in range(depth):
         here = site.join(frontier, "url").withColumn("hop", F.lit(hop))
         found = here if found is None else found.unionByName(here)
-        frontier = here.select(F.explode("links").alias("url")).where(is_allowed_url(F.col("url"), hosts)).distinct().join(visited, "url", "left_anti").checkpoint()
+        frontier = cut(here.select(F.explode("links").alias("url")).where(is_allowed_url(F.col("url"), hosts)).distinct().join(visited, "url", "left_anti"))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -93,7 +94,7 @@ def crawl(pages: DataFrame, seeds: list[str], depth: int = 10, hosts: tuple[str,
 def with_dense_ids(rows: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """rows with ids start, start+1, ... in the given order, without one task for all: a range sort, and offsets by partition."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()).checkpoint()
+    marked = cut(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()))
     counts = marked.groupBy("__part").agg(F.count("*").alias("n"), F.min("__k").alias("low")).collect()
     offsets, total = [], start
     for r in sorted(counts, key=lambda r: r["__part"]):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import STOP_WORDS
 from ..functions import text as T
 from ..functions.porter import stem_column, stem_sql
-from ..operators import evaluation, feedback, index, ingest, pages, pooling, search
+from ..operators import evaluation, feedback, index, ingest, pages, pooling, robots, search
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,6 +369,15 @@ def page_extract(spark, sf_dir):
     return pages.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "prose_text", "code_text", "source", F.size("links").cast("long").alias("n_links"))
 
 
+@register(r"SELECT page_id, NOT (regexp_matches(url, '^https?://[^/?#]*example\.com/de/')) AS allowed FROM pages")
+def robots_gate(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    scheme, host, _ = pages.url_parts(F.col("url"))
+    sites = p.where(host.endswith("example.com")).select(F.concat(scheme, F.lit("://"), host).alias("site")).distinct()
+    rules = sites.withColumn("text", F.lit("User-agent: own\nDisallow: /de/\n\nUser-agent: *\nDisallow: /de/\n"))
+    return robots.allowed_by_robots(p, rules, "own").select("page_id", "allowed")
+
+
 _ANY = ("example.com", "example.net", "example.org")
 
 
