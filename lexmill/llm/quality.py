@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, free_name
+from .common import arrow_add, arrow_map, free_name
 
 #: The bound of posterior-labelled rows that the scorer is trained on, taken by hash of the text if there are more.
 MAX_TRAINING = 12_000
@@ -29,8 +28,30 @@ LABELLERS = ("repeats", "symbols", "variety", "capitals", "letterless", "marked
 #: A labeller calls good documents bad this often at most. Kinds of junk that few labellers see would otherwise pass for
 #: good ones, as the votes of one class are taken to be independent.
 MOST_WRONG = 0.004
+#: Marks that end no ordinary word.
+MARKS = "#$%&*|~^@"
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+
+
+@lru_cache(maxsize=4096)
+def _hash(shape: str) -> int:
+    return zlib.crc32(shape[:24].encode())
+
+
+def shape_of(word: str) -> tuple[int, ...]:
+    """Hash of the shape, letters, symbols, all capitals, marked end, sentence end, length. Plain words take short cuts."""
+    n = len(word)
+    end = "" if word[-1].isalpha() else word[-1]
+    bare = word[:-1] if end else word
+    if bare.isalpha() and not end.isdigit():
+        case = "a" if bare.islower() else "A" if bare.isupper() else "Aa" if bare.istitle() else "x"
+        return _hash(case + end), len(bare), len(end), int(case == "A" and len(bare) > 1), int(end != "" and end in MARKS), int(end != "" and end in ".!?"), n
+    letters = sum(map(str.isalpha, word))
+    symbols = n - sum(map(str.isalnum, word))
+    folded = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    marked = n > 2 and not word[-1].isalnum() and word[-1] == word[-2]
+    return _hash(re.sub(r"(.)\1+", r"\1\1", folded)), letters, symbols, int(letters > 1 and word.isupper()), int(marked or word[-1] in MARKS), int(word[-1] in ".!?" and not marked), n
 
 
 class Shapes(dict):
@@ -41,15 +62,10 @@ class Shapes(dict):
         self.table = np.zeros((4096, 7), np.int64)
 
     def __missing__(self, word: str) -> int:
-        letters = sum(map(str.isalpha, word))
-        symbols = len(word) - sum(map(str.isalnum, word))
-        folded = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-        shape = re.sub(r"(.)\1+", r"\1\1", folded) if letters < len(word) else re.sub(r"(.)\1+", r"\1", folded)
-        end = len(word) > 2 and not word[-1].isalnum() and word[-1] == word[-2]
         at = self[word] = len(self)
         if at >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = (zlib.crc32(shape[:24].encode()), letters, symbols, int(letters > 1 and word.isupper()), int(end or (symbols > 0 and word[-1] in "#$%&*|~^@")), int(word[-1] in ".!?" and not end), len(word))
+        self.table[at] = shape_of(word)
         return at
 
     def rows(self, words: list[str]) -> np.ndarray:
@@ -174,22 +190,25 @@ def fit(docs: DataFrame, text_col: str, max_training: int = MAX_TRAINING) -> tup
     return train_linear(x, got["p"].to_numpy(float)), posterior
 
 
-def _score_column(docs: DataFrame, text_col: str):
-    """A column expression: the scorer's probability that the whole text is good; 0 without a word."""
+def _scored(docs: DataFrame, text_col: str, score: str, posterior: str) -> DataFrame:
+    """docs with the scorer's probability that the whole text is good, 0 without a word, and the weak label's."""
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
 
-    @F.pandas_udf("struct<score:double,posterior:double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make():
         shapes = Shapes()
-        w, posterior = weights.value
-        for texts in batches:
-            out = []
+        w, by_pattern = weights.value
+
+        def run(texts):
+            out = [[], []]
             for t in texts:
                 m = measures(t, shapes)
-                out.append((1 / (1 + np.exp(-float(m[1] @ w[:-1]) - w[-1])), posterior.get(votes(m[0]), 0.5)) if m else (0.0, None))
-            yield pd.DataFrame(out, columns=["score", "posterior"])
+                out[0].append(1 / (1 + np.exp(-float(m[1] @ w[:-1]) - w[-1])) if m else 0.0)
+                out[1].append(by_pattern.get(votes(m[0]), 0.5) if m else None)
+            return out
+
+        return run
 
-    return score(F.col(text_col))
+    return arrow_add(docs, text_col, f"`{score}` double, `{posterior}` double", make)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -198,11 +217,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     A null, empty or blank text has no word: score 0, posterior null, not kept. Patterns are counted over all
     documents. Repeated rows are scored each; other columns are not read. No rows in, no rows out.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), _score_column(docs, text_col).alias("q"))
-    return out.select("doc_id", "q.score", "q.posterior", (F.col("q.score") >= threshold).alias("kept"))
+    out = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "score", "posterior")
+    return out.select("doc_id", "score", "posterior", (F.col("score") >= threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the scorer keeps, with their columns."""
-    name = free_name(docs, "__quality")
-    return docs.withColumn(name, _score_column(docs, text_col)).where(F.col(f"{name}.score") >= threshold).drop(name)
+    score = free_name(docs, "__quality")
+    posterior = free_name(docs, score + "_weak")
+    return _scored(docs, text_col, score, posterior).where(F.col(score) >= threshold).select(*docs.columns)
