@@ -46,10 +46,6 @@ def headline(spark: SparkSession, sf_dir: str, folder: str) -> dict:
     def vectors() -> DataFrame:
         return terms().withColumn("weight", F.lit(1.0))
 
-    def refined() -> DataFrame:
-        b = search.score_vectors(vectors(), at(), "bm25", 10, boost=False)
-        return search.rerank(search.score_vectors(feedback.rocchio(vectors(), feedback.pseudo_judgments(b), at()), at(), "bm25", 10, boost=False), terms())
-
     return {
         "index_build": lambda: index.build_index(corpus, stem=False).write(folder, 16),
         "index_build_stemmed": lambda: run(index.build_index(corpus, stem=True).postings),
@@ -57,7 +53,7 @@ def headline(spark: SparkSession, sf_dir: str, folder: str) -> dict:
         "search_tfidf": lambda: run(search.search(texts, at(), "tfidf", 10, False, stem=False)),
         "search_bm25_boosted": lambda: run(search.search(texts, at(), "bm25", 10, True, stem=False)),
         "rerank_top20": lambda: run(search.rerank(search.score_vectors(vectors(), at(), "bm25", 20, boost=False), terms())),
-        "rocchio_top10": lambda: run(refined()),
+        "rocchio_top10": lambda: run(feedback.pseudo_feedback(vectors(), terms(), at(), 10)),
         "pool_four_systems": lambda: run(pooling.build_pool(pooling.system_runs(texts, at(), stem=False))),
         "experiments": lambda: run(evaluation.run_experiments(texts, library.known_items(spark, sf_dir), at(), stem=False)),
         "page_extract": lambda: run(library.page_extract(spark, sf_dir)),

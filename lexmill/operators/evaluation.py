@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EVAL_DEPTH
+from ..functions.durable import cut
 from .feedback import rocchio
 from .index import Index
 from .search import query_terms, rerank, score_vectors
@@ -69,14 +70,14 @@ def evaluate(results: DataFrame, qrels: DataFrame, by: list[str] | None = None)
     return per.groupBy(*(by or [])).agg(*(F.avg(m).alias(m) for m in METRICS), F.count("*").alias("n_queries"))
 
 
-def oracle_rocchio(queries: DataFrame, qrels: DataFrame, index: Index, top_k: int = EVAL_DEPTH, stem: bool = True, stop: bool = True) -> DataFrame:
+def oracle_rocchio(queries: DataFrame, qrels: DataFrame, index: Index, top_k: int = EVAL_DEPTH, stem: bool = True, stop: bool = True, baseline: DataFrame | None = None) -> DataFrame:
     """Feedback from the judgments themselves, an upper bound: relevant ones among the baseline refine the query.
 
     A query without any keeps its baseline, not re-ranked.
     """
     terms = query_terms(queries, stem, stop)
     vectors = terms.withColumn("weight", F.lit(1.0))
-    baseline = score_vectors(vectors, index, "bm25", top_k, boost=False)
+    baseline = cut(score_vectors(vectors, index, "bm25", top_k, boost=False)) if baseline is None else baseline
     found = baseline.select("query_id", "doc_id").join(qrels.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).withColumn("relevant", F.lit(True))
     lucky = found.select("query_id").distinct()
     refined = rerank(score_vectors(rocchio(vectors.join(lucky, "query_id", "left_semi"), found, index), index, "bm25", top_k, boost=False), terms)
@@ -88,9 +89,10 @@ def run_experiments(queries: DataFrame, qrels: DataFrame, index: Index, stem: bo
     terms = query_terms(queries, stem, stop)
     vectors = terms.withColumn("weight", F.lit(1.0))
     columns = ["query_id", "rank", "doc_id"]
-    baseline = score_vectors(vectors, index, "bm25", EVAL_DEPTH, boost=False)
+    baseline = cut(score_vectors(vectors, index, "bm25", EVAL_DEPTH, boost=False))  # a few rows a query, used in three rows
     tfidf = rerank(score_vectors(vectors, index, "tfidf", EVAL_DEPTH, boost=False), terms)
-    runs = {"TF-IDF": tfidf, "BM25": rerank(baseline, terms), "No metadata boost": baseline, "After Rocchio feedback": oracle_rocchio(queries, qrels, index, EVAL_DEPTH, stem, stop)}
+    qrels = cut(qrels.select("query_id", "doc_id").distinct())
+    runs = {"TF-IDF": tfidf, "BM25": rerank(baseline, terms), "No metadata boost": baseline, "After Rocchio feedback": oracle_rocchio(queries, qrels, index, EVAL_DEPTH, stem, stop, baseline)}
     every = None
     for name, rows in runs.items():
         rows = rows.select(F.lit(name).alias("experiment"), *columns)

@@ -33,9 +33,9 @@ def pseudo_judgments(results: DataFrame, first: int = PSEUDO_RELEVANT) -> DataFr
     return results.where(F.col("rank") <= first).select("query_id", "doc_id", F.lit(True).alias("relevant"))
 
 
-def pseudo_feedback(vectors: DataFrame, terms: DataFrame, index: Index, top_k: int, mode: str = "bm25") -> DataFrame:
-    """Results of the vectors refined by their own first results, re-ranked."""
-    baseline = score_vectors(vectors, index, mode, top_k, boost=False)
+def pseudo_feedback(vectors: DataFrame, terms: DataFrame, index: Index, top_k: int, mode: str = "bm25", baseline: DataFrame | None = None) -> DataFrame:
+    """Results of the vectors refined by their own first results (baseline, if it is known), re-ranked."""
+    baseline = cut(score_vectors(vectors, index, mode, top_k, boost=False)) if baseline is None else baseline
     return rerank(score_vectors(rocchio(vectors, pseudo_judgments(baseline), index), index, mode, top_k, boost=False), terms)
 
 

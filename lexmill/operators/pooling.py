@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import POOL_DEPTH
+from ..functions.durable import cut
 from .feedback import pseudo_feedback
 from .index import Index
 from .search import query_terms, rerank, score_vectors
@@ -17,8 +18,8 @@ def system_runs(queries: DataFrame, index: Index, depth: int = POOL_DEPTH, stem:
     """(system, query_id, rank, doc_id, title, url, snippet) of the four pooled systems."""
     terms = query_terms(queries, stem, stop)
     vectors = terms.withColumn("weight", F.lit(1.0))
-    baseline = score_vectors(vectors, index, "bm25", depth, boost=False)
-    runs = (rerank(baseline, terms), baseline, score_vectors(vectors, index, "tfidf", depth, boost=False), pseudo_feedback(vectors, terms, index, depth))
+    baseline = cut(score_vectors(vectors, index, "bm25", depth, boost=False))  # a few rows a query, used three times
+    runs = (rerank(baseline, terms), baseline, score_vectors(vectors, index, "tfidf", depth, boost=False), pseudo_feedback(vectors, terms, index, depth, baseline=baseline))
     out = None
     for name, rows in zip(SYSTEMS, runs, strict=True):
         rows = rows.select(F.lit(name).alias("system"), "query_id", "rank", "doc_id", "title", "url", "snippet")
