@@ -29,9 +29,9 @@ SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine euch i
 #: Marks that stand for letters in obfuscated words.
 LEET = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W_]+(?:[*@$!0-9.\-_]+[^\W_]+)*")
-_ODD = re.compile(r"[^\W\d_]+[*@$!0-9]+[^\W\d_]*|(?:[^\W\d_][.\-_*]){2,}[^\W\d_]")
 _MARK = re.compile(r"[^\w\s]")
 FEATURES = 15
+ODD = 1000.0
 
 
 def words(text: str) -> list[str]:
@@ -44,22 +44,27 @@ def plain(word: str) -> str:
 
 
 class Hits(dict):
-    """Weights of words: 0 without a hit, the better of the word's own and of its beginnings' weight else."""
+    """Weights of words: 0 without a hit, the better of the word's own and of its beginnings' weight else.
+
+    ODD more for words that mix letters with other marks, which are read without them, too.
+    """
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
 
+    def best(self, word: str) -> float:
+        get = self.lexicon.get
+        return max(get(word, 0.0), *[get(word[:k] + "*", 0.0) for k in STEMS])
+
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
-        get = self.lexicon.get
-        best = max(get(word, 0.0), *(get(word[:k] + "*", 0.0) for k in STEMS))
-        if not best and not word.isalpha():
-            clear = plain(word)
-            best = max(get(clear, 0.0), *(get(clear[:k] + "*", 0.0) for k in STEMS))
-        self[word] = best
-        return best
+        got = self.best(word)
+        if not word.isalpha() and not word.isdigit():
+            got = max(got, self.best(plain(word))) + ODD
+        self[word] = got
+        return got
 
 
 def features(text: str | None, hits: Hits) -> list[float]:
@@ -68,22 +73,22 @@ def features(text: str | None, hits: Hits) -> list[float]:
     n = len(w)
     if not n:
         return [0.0] * FEATURES
-    weights = np.fromiter((hits[x] for x in w), float, n)
+    weights = np.fromiter(map(hits.__getitem__, w), float, n)
+    odd = weights >= ODD
+    weights[odd] -= ODD
     at = np.flatnonzero(weights)
     k = len(at)
-    near = spread = odd_hits = exact = 0
+    near = spread = exact = 0
     if k:
         found = [w[i] for i in at]
         exact = sum(x in hits.lexicon for x in found)
-        odd_hits = sum(not x.isalpha() for x in found)
         spread = len(set(found))
         near = sum(any(x in SECOND_PERSON for x in w[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
     second = sum(map(SECOND_PERSON.__contains__, w))
-    odd = sum(1 for _ in _ODD.finditer(text)) if not text.isalpha() else 0
     tokens = text.split()
     capitals = sum(map(str.isupper, tokens))
     marks = len(_MARK.findall(text))
-    return [np.log1p(n), k / n, np.log1p(k), exact / n, np.log1p(exact), float(weights.sum()) / n, float(weights.max()), np.log1p(float(weights.sum())), near / k if k else 0.0, np.log1p(near), second / n, spread, capitals / len(tokens), marks / len(text), (odd + odd_hits) / n]
+    return [np.log1p(n), k / n, np.log1p(k), exact / n, np.log1p(exact), float(weights.sum()) / n, float(weights.max()), np.log1p(float(weights.sum())), near / k if k else 0.0, np.log1p(near), second / n, spread, capitals / len(tokens), marks / len(text), int(odd.sum()) / n]
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
