@@ -31,12 +31,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     d = cut(docs.select(F.col(id_col).alias("doc_id"), digest(text_col).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
     proposed = d.agg(F.expr(f"approx_top_k(xxhash64(digest), {candidates}, {max(COUNTERS, candidates)})").alias("top")).select(F.explode("top.item").alias("h"))
-    least = F.lit(64.0)
-    total = d.agg((F.count("*") / F.lit(candidates)).alias("share"))
+    least = max(64, d.count() / candidates)
     true = d.join(F.broadcast(proposed), F.xxhash64("digest") == F.col("h"), "left_semi").groupBy("digest").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("least_id"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("least_row")
     )
-    winners = true.crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest("share", least)).drop("share")
+    winners = true.where(F.col("n") >= least)
     marked = d.join(F.broadcast(winners), "digest", "left")
     heavy = marked.where("n is not null").select("doc_id", F.col("least_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("least_row")).alias("kept"), "digest")
     same = Window.partitionBy("digest")

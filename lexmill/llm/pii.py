@@ -168,7 +168,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     good = cut(confident(met.select("pattern", "id", "seed")))
     good = F.broadcast(good) if small(good, 96) else good
     found = met.where("not seed").join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("k"), "end")).alias("more"))
-    found = F.broadcast(found) if small(found := cut(found), 256) else found
+    found = cut(found)
+    found = F.broadcast(found) if small(found, 256) else found
     joined = rows.join(found, "row", "left").withColumn("more", F.coalesce("more", F.expr("array()").cast("array<struct<start:long,k:int,end:long>>")))
     every = F.array_sort(F.concat("base", "more"))
     names = F.array(*map(F.lit, KINDS))
