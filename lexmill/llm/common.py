@@ -17,6 +17,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python function at a time: bounds what a worker holds beside one Arrow batch.
 SLICE = 256
+#: Rows in an Arrow batch, where the session has Spark's default of ten times as many: a batch of long texts must fit
+#: several times into an executor, beside the JVM's heap.
+BATCH = 1000
 #: A side is broadcast only when its counted rows times their width stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -55,12 +58,21 @@ def remove(spark: SparkSession, path: str | None) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH rows, unless it was set lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def arrow_map(df: DataFrame, cols: list[str | Column], schema: T.StructType | str, make: Callable[[], Callable[..., list]]) -> DataFrame:
     """Map slices of rows in Python workers, Arrow in and out.
 
     make() runs once a partition and returns a function from lists of values, one a column, to lists of values,
     one a field of schema. The number of rows may change.
     """
+    short_batches(df.sparkSession)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     fields = to_arrow_schema(schema)
 
@@ -77,6 +89,7 @@ def arrow_map(df: DataFrame, cols: list[str | Column], schema: T.StructType | st
 
 def arrow_add(df: DataFrame, col: str, fields: str, make: Callable[[], Callable[..., list]]) -> DataFrame:
     """df with further columns, made like arrow_map's from one column; no row is added or lost."""
+    short_batches(df.sparkSession)
     more = T._parse_datatype_string(fields)
     schema = T.StructType([*df.schema.fields, *more.fields])
     arrow, new = to_arrow_schema(schema), to_arrow_schema(more)

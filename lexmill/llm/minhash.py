@@ -40,7 +40,7 @@ LEADER_ROUNDS = 1
 #: Classes in a block of signatures, and in a block of full sets.
 SIGNED_BLOCK, BLOCK = 8192, 512
 #: Words whose hash a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 

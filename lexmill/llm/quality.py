@@ -31,7 +31,7 @@ MOST_WRONG = 0.004
 #: Marks that end no ordinary word.
 MARKS = "#$%&*|~^@"
 #: Words that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=4096)
