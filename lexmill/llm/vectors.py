@@ -4,26 +4,28 @@ Start: vectors of a label are dealt, several times, by the signs of random proje
 takes its nearest of the group. Refinement: every vector is a pivot at which its neighbours, forward and backward, meet
 and are compared with each other; each keeps its nearest. Links are the listed pairs above the threshold.
 
-A list that holds nothing but links is saturated: it may be too short. Its vector is then compared with the whole of
-its connected component, in blocks, so that the list is as long as there are links. An audit compares a fixed number of
-vectors with all of their label; while the recall of links is too low, further starts and refinements follow.
+Equal vectors are one weighted point. A list that holds nothing but links is saturated: it may be too short. Its point is
+then compared with all of its label, in blocks, so that the list is as long as there are links and components that only
+a link beyond its end joins are joined. An audit compares a fixed number of vectors with all of their label; while the
+recall of links is too low, further starts and refinements follow.
 """
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut
+from .common import arrow_map, components, cut, small
 
 SIMILARITY = 0.98
 NEIGHBOURS = 10
 TABLES, GROUP = 6, 40
 REFINEMENTS = 2
-#: Members of a component that one task compares at a time.
+#: Points of a label that one task compares with as many others at a time.
 BLOCK = 512
 AUDITED, RECALL, ATTEMPTS = 200, 0.99, 3
 
@@ -36,27 +38,39 @@ def units(vecs: list) -> np.ndarray:
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(row, vec_id, part, vec): vectors that can link, components as they came; cut. part: label and length."""
+    """(row, vec_id, part, vec, digest): vectors that can link, components as they came; cut. part: label and length.
+
+    digest is one of part and vector, the same for equal ones.
+    """
     kind, element = (vectors.select(c).schema[0].dataType.simpleString() for c in (id_col, vec_col))
     element = element if element in ("array<float>", "array<double>") else "array<double>"
 
     def make():
         def run(ids, vecs, labels):
-            out = [[], [], []]
+            out = [[], [], [], []]
             for i, v, label in zip(ids, vecs, labels, strict=True):
                 if v and label is not None and None not in v:
-                    top = np.abs(np.asarray(v, np.float64)).max()  # NaN if there is any
+                    x = np.asarray(v, np.float64) + 0.0  # -0.0 becomes 0.0
+                    top = np.abs(x).max()  # NaN if there is any
                     if np.isfinite(top) and top > 0:
-                        for col, value in zip(out, (i, f"{label}/{len(v)}", v), strict=True):
+                        part = f"{label}/{len(v)}"
+                        digest = hashlib.blake2b(part.encode() + b"\n" + x.tobytes(), digest_size=16).digest()
+                        for col, value in zip(out, (i, part, v, digest), strict=True):
                             col.append(value)
             return out
 
         return run
 
-    out = arrow_map(vectors, [id_col, F.col(vec_col).cast(element), F.col(label_col).cast("string")], f"vec_id {kind}, part string, vec {element}", make)
+    out = arrow_map(vectors, [id_col, F.col(vec_col).cast(element), F.col(label_col).cast("string")], f"vec_id {kind}, part string, vec {element}, digest binary", make)
     return cut(out.withColumn("row", F.monotonically_increasing_id()))
 
 
+def distinct_points(vectors: DataFrame) -> DataFrame:
+    """(row, part, vec, digest, w, least_id): equal vectors of a label as one, their number and least id beside it; cut."""
+    first = F.first(F.struct("part", "vec")).alias("v")
+    return cut(vectors.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("w"), F.min("vec_id").alias("least_id"), first).select("row", "v.part", "v.vec", "digest", "w", "least_id"))
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, similarity) of each row's k nearest others, above its floor, block by block."""
     out = []
@@ -143,27 +157,41 @@ def refine(points: DataFrame, lists: DataFrame, k: int = NEIGHBOURS) -> DataFram
     return lists.unionByName(arrow_map(met, ["l"], "a long, b long, s double", make))
 
 
-def enlarge(points: DataFrame, links: DataFrame, roots: DataFrame, similarity: float, k: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """Link counts (row, n) of components that hold a saturated list, by blocks; and the rows so counted."""
-    full = links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"))
-    crowded = full.join(roots, "node").select("root").distinct()
-    members = roots.join(crowded, "root")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
-    laid = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(points.select(F.col("row").alias("node"), "vec"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = laid.withColumn("o", other).select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "vec")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        ids, x, block = pdf["node"].to_numpy(), units(list(pdf["vec"])), pdf["block"].to_numpy()
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        hit = x[a] @ x[b].T >= similarity
-        if i == j:
-            np.fill_diagonal(hit, False)
-            return pd.DataFrame({"row": ids[a], "n": hit.sum(1)})
-        return pd.DataFrame({"row": np.concatenate([ids[a], ids[b]]), "n": np.concatenate([hit.sum(1), hit.sum(0)])})
+def enlarge(points: DataFrame, links: DataFrame, wanted: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Link counts (row, n), copies of a point itself left out, and components (node, root), both cut.
 
-    return pairs.groupBy("root", "i", "j").applyInPandas(count, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")), members
+    The points of wanted (row) are compared with all of their label, in blocks; links between others are those listed.
+    Nothing of a pair leaves a task but a link that joins components of listed links.
+    """
+    roots = components(links)
+    wanted = cut(wanted.distinct())
+    own = points.join(wanted.withColumn("wanted", F.lit(True)), "row", "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    own = own.select("row", "part", "vec", "w", F.coalesce("wanted", F.lit(False)).alias("wanted"), F.coalesce("root", "row").alias("root"))
+    blocks = own.groupBy("part").agg(*(F.ceil(F.sum(x) / float(BLOCK)).cast("int").alias(c) for x, c in ((F.col("wanted").cast("int"), "m"), (F.lit(1), "n")))).where("m > 0")
+    laid = own.join(blocks, "part")
+    asks = laid.where("wanted").withColumns({"i": F.pmod(F.xxhash64("row", F.lit(5)), "m").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("n") - 1)), "asks": F.lit(True)})
+    others = laid.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("m") - 1)), "j": F.pmod(F.xxhash64("row"), "n").cast("int"), "asks": F.lit(False)})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"row": [], "n": [], "to": []}, dtype="int64")
+        ids, to, ra, rb = (x.to_numpy() for x in (a["row"], b["row"], a["root"], b["root"]))
+        hit = (units(list(a["vec"])) @ units(list(b["vec"])).T >= similarity) & (ids[:, None] != to[None, :])
+        more = ~b["wanted"].to_numpy()  # a wanted point counts its links itself
+        n = np.concatenate([hit @ b["w"].to_numpy(), a["w"].to_numpy() @ hit[:, more]])
+        counted = pd.DataFrame({"row": np.concatenate([ids, to[more]]), "n": n, "to": -1})
+        x, y = np.nonzero(hit & (ra[:, None] != rb[None, :]))
+        joined = np.unique(np.stack([ra[x], rb[y]]), axis=1)
+        return pd.concat([counted[counted["n"] > 0], pd.DataFrame({"row": joined[0], "n": 0, "to": joined[1]})])
+
+    found = cut(asks.unionByName(others).groupBy("part", "i", "j").applyInPandas(compare, "row long, n long, to long"))
+    joins = found.where("to >= 0").select(F.col("row").alias("a"), F.col("to").alias("b")).distinct()
+    if not joins.isEmpty():
+        roots = components(links.unionByName(joins))
+    listed = links.join(wanted.withColumnRenamed("row", "a"), "a", "left_anti").join(wanted.withColumnRenamed("row", "b"), "b", "left_anti")
+    listed = listed.join(points.select(F.col("row").alias("b"), "w"), "b").select(F.col("a").alias("row"), F.col("w").alias("n"))
+    return cut(listed.unionByName(found.where("to < 0").select("row", "n")).groupBy("row").agg(F.sum("n").alias("n"))), roots
 
 
 def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
@@ -179,7 +207,7 @@ def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
     shared = points.sparkSession.sparkContext.broadcast({p: (np.array(i), units(v)) for p, (i, v) in by_part.items()})
 
     def make():
-        def run(rows, parts, vecs):
+        def run(rows, parts, vecs, ws):
             total: dict[int, int] = {}
             for part in set(parts):
                 if part in shared.value:
@@ -187,13 +215,13 @@ def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
                     own = [k for k, p in enumerate(parts) if p == part]
                     hit = q @ units([vecs[k] for k in own]).T >= similarity
                     hit &= ids[:, None] != np.array([rows[k] for k in own])[None, :]
-                    for i, n in zip(ids, hit.sum(1), strict=True):
+                    for i, n in zip(ids, hit @ np.array([ws[k] for k in own]), strict=True):
                         total[int(i)] = total.get(int(i), 0) + int(n)
             return [list(total), list(total.values())]
 
         return run
 
-    true = arrow_map(points, ["row", "part", "vec"], "row long, t long", make).groupBy("row").agg(F.sum("t").alias("t"))
+    true = arrow_map(points, ["row", "part", "vec", "w"], "row long, t long", make).groupBy("row").agg(F.sum("t").alias("t"))
     got = true.join(counted, "row", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).first()
     return (got["n"] or 0) / got["t"] if got["t"] else 1.0
 
@@ -206,7 +234,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     don't link. component_id is the least vec_id reachable; a row without links is its own. Repeated rows are vectors of
     their own, linked with each other. Other columns are not read. No rows in, no rows out.
     """
-    points = valid(vectors, id_col, vec_col, label_col)
+    rows = valid(vectors, id_col, vec_col, label_col)
+    points = distinct_points(rows)
     sizes = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect()}
     lists = None
     for attempt in range(ATTEMPTS):
@@ -216,16 +245,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             lists = best_lists(refine(points, lists))
         near = lists.where(F.col("s") >= similarity)
         links = cut(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        roots = components(links)
-        exact, members = enlarge(points, links, roots, similarity)
-        exact = cut(exact)
-        counted = links.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("m")).join(exact, "row", "full_outer").select("row", F.coalesce("n", "m").alias("n"))
-        counted = cut(counted)
+        full = links.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS).select("row")
+        counted, roots = enlarge(points, links, full, similarity)
         if audit(points, counted, similarity) >= RECALL:
             break
-    own = points.select("row", "vec_id").join(roots.withColumnRenamed("node", "row"), "row").join(counted, "row", "left")
-    least = own.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    linked = cut(own.join(least, "root").groupBy("vec_id").agg(F.max("n").alias("n_links"), F.min("component_id").alias("component_id")))
+    own = points.join(roots.withColumnRenamed("node", "row"), "row", "left").join(counted, "row", "left")
+    own = own.select("digest", "least_id", F.coalesce("root", "row").alias("root"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    settled = cut(own.join(least, "root").select("digest", "n", "component_id"))
+    settled = F.broadcast(settled) if small(settled, 128) else settled
+    linked = cut(rows.select("vec_id", "digest").join(settled, "digest").groupBy("vec_id").agg(F.max("n").alias("n_links"), F.min("component_id").alias("component_id")))
     every = vectors.select(F.col(id_col).alias("vec_id"))
     out = every.join(linked.withColumnRenamed("vec_id", "__v"), F.col("vec_id") == F.col("__v"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -313,6 +313,30 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(df.where("false")).isEmpty()
 
 
+def dense_groups(rng, sizes, cosine=0.987, label=0, first=0):
+    """Groups of vectors much closer to each other than to the other groups, which they link with all the same."""
+    c, *turns = np.linalg.qr(rng.normal(size=(16, 1 + len(sizes))))[0].T
+    out = []
+    for turn, size in zip(turns, sizes, strict=True):
+        # two centres at equal angles from c have this cosine with each other
+        centre = math.sqrt(cosine) * c + math.sqrt(1 - cosine) * turn
+        out += [(centre + 0.003 * rng.normal(size=16), label) for _ in range(size)]
+    return [(first + k, [float(x) for x in v], y) for k, (v, y) in enumerate(out)]
+
+
+@pytest.mark.parametrize("copies", [0, 25])
+def test_near_vectors_saturated(spark, copies):
+    """Lists of 10 hold none of the links between the groups."""
+    rng = np.random.default_rng(3)
+    data = dense_groups(rng, (30, 30), label=0) + dense_groups(rng, (12, 12), label=1, first=100)
+    data += [(200 + k, [float(x) for x in rng.normal(size=16)], k % 2) for k in range(60)]
+    data += [(300 + 30 * k + j, data[k][1], data[k][2]) for k in (0, 30, 65) for j in range(copies)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    want = links_by_hand(data)
+    assert len({c for i, _, c, _ in want if i < 60}) == 1 == len({c for i, _, c, _ in want if 100 <= i < 124})
+    assert sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept")) == want
+
+
 # 8: mixing ------------------------------------------------------------------------------------------------------------
 
 
