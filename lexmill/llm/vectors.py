@@ -6,8 +6,9 @@ and are compared with each other; each keeps its nearest. Links are the listed p
 
 Equal vectors are one weighted point. A list that holds nothing but links is saturated: it may be too short. Its point is
 then compared with all of its label, in blocks, so that the list is as long as there are links and components that only
-a link beyond its end joins are joined. An audit compares a fixed number of vectors with all of their label; while the
-recall of links is too low, further starts and refinements follow.
+a link beyond its end joins are joined. An audit compares a fixed number of vectors with all of their label; while their
+mean recall of links is too low, further starts and refinements follow, with lists twice as long each time. If that
+doesn't help, all vectors are compared with all of their label.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None =
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def start(points: DataFrame, tables: int, first: int, sizes: dict[str, int]) -> DataFrame:
+def start(points: DataFrame, tables: int, first: int, sizes: dict[str, int], k: int = NEIGHBOURS) -> DataFrame:
     """(a, b, s): nearest within groups of about GROUP vectors of like signs; crowded groups are dealt on by id."""
     bits = {p: max(0, int(np.ceil(np.log2(max(n, 1) / GROUP)))) for p, n in sizes.items()}
 
@@ -120,7 +121,7 @@ def start(points: DataFrame, tables: int, first: int, sizes: dict[str, int]) ->
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
             return pd.DataFrame({"a": [], "b": [], "s": []})
-        a, b, s = _nearest(pdf["row"].to_numpy(), units(list(pdf["vec"])), NEIGHBOURS)
+        a, b, s = _nearest(pdf["row"].to_numpy(), units(list(pdf["vec"])), k)
         return pd.DataFrame({"a": a, "b": b, "s": s})
 
     return dealt.groupBy("grp", "salt").applyInPandas(near, "a long, b long, s double")
@@ -158,7 +159,7 @@ def refine(points: DataFrame, lists: DataFrame, k: int = NEIGHBOURS) -> DataFram
 
 
 def enlarge(points: DataFrame, links: DataFrame, wanted: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Link counts (row, n), copies of a point itself left out, and components (node, root), both cut.
+    """Link counts (row, n, m) and components (node, root), both cut. n: linked vectors, own copies left out; m: points.
 
     The points of wanted (row) are compared with all of their label, in blocks; links between others are those listed.
     Nothing of a pair leaves a task but a link that joins components of listed links.
@@ -175,27 +176,28 @@ def enlarge(points: DataFrame, links: DataFrame, wanted: DataFrame, similarity:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if not len(a) or not len(b):
-            return pd.DataFrame({"row": [], "n": [], "to": []}, dtype="int64")
+            return pd.DataFrame({"row": [], "n": [], "m": [], "to": []}, dtype="int64")
         ids, to, ra, rb = (x.to_numpy() for x in (a["row"], b["row"], a["root"], b["root"]))
         hit = (units(list(a["vec"])) @ units(list(b["vec"])).T >= similarity) & (ids[:, None] != to[None, :])
         more = ~b["wanted"].to_numpy()  # a wanted point counts its links itself
         n = np.concatenate([hit @ b["w"].to_numpy(), a["w"].to_numpy() @ hit[:, more]])
-        counted = pd.DataFrame({"row": np.concatenate([ids, to[more]]), "n": n, "to": -1})
+        m = np.concatenate([hit.sum(1), hit[:, more].sum(0)])
+        counted = pd.DataFrame({"row": np.concatenate([ids, to[more]]), "n": n, "m": m, "to": -1})
         x, y = np.nonzero(hit & (ra[:, None] != rb[None, :]))
         joined = np.unique(np.stack([ra[x], rb[y]]), axis=1)
-        return pd.concat([counted[counted["n"] > 0], pd.DataFrame({"row": joined[0], "n": 0, "to": joined[1]})])
+        return pd.concat([counted[counted["n"] > 0], pd.DataFrame({"row": joined[0], "n": 0, "m": 0, "to": joined[1]})])
 
-    found = cut(asks.unionByName(others).groupBy("part", "i", "j").applyInPandas(compare, "row long, n long, to long"))
+    found = cut(asks.unionByName(others).groupBy("part", "i", "j").applyInPandas(compare, "row long, n long, m long, to long"))
     joins = found.where("to >= 0").select(F.col("row").alias("a"), F.col("to").alias("b")).distinct()
     if not joins.isEmpty():
         roots = components(links.unionByName(joins))
     listed = links.join(wanted.withColumnRenamed("row", "a"), "a", "left_anti").join(wanted.withColumnRenamed("row", "b"), "b", "left_anti")
-    listed = listed.join(points.select(F.col("row").alias("b"), "w"), "b").select(F.col("a").alias("row"), F.col("w").alias("n"))
-    return cut(listed.unionByName(found.where("to < 0").select("row", "n")).groupBy("row").agg(F.sum("n").alias("n"))), roots
+    listed = listed.join(points.select(F.col("row").alias("b"), "w"), "b").select(F.col("a").alias("row"), F.col("w").alias("n"), F.lit(1).cast("long").alias("m"))
+    return cut(listed.unionByName(found.where("to < 0").drop("to")).groupBy("row").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))), roots
 
 
 def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
-    """Recall of links for AUDITED vectors, by brute force of these against all rows of their label."""
+    """Mean recall of linked points over those of AUDITED that have any, by brute force against all of their label."""
     some = points.orderBy(F.xxhash64("row")).limit(AUDITED).collect()
     if not some:
         return 1.0
@@ -207,7 +209,7 @@ def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
     shared = points.sparkSession.sparkContext.broadcast({p: (np.array(i), units(v)) for p, (i, v) in by_part.items()})
 
     def make():
-        def run(rows, parts, vecs, ws):
+        def run(rows, parts, vecs):
             total: dict[int, int] = {}
             for part in set(parts):
                 if part in shared.value:
@@ -215,15 +217,15 @@ def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
                     own = [k for k, p in enumerate(parts) if p == part]
                     hit = q @ units([vecs[k] for k in own]).T >= similarity
                     hit &= ids[:, None] != np.array([rows[k] for k in own])[None, :]
-                    for i, n in zip(ids, hit @ np.array([ws[k] for k in own]), strict=True):
+                    for i, n in zip(ids, hit.sum(1), strict=True):
                         total[int(i)] = total.get(int(i), 0) + int(n)
             return [list(total), list(total.values())]
 
         return run
 
-    true = arrow_map(points, ["row", "part", "vec", "w"], "row long, t long", make).groupBy("row").agg(F.sum("t").alias("t"))
-    got = true.join(counted, "row", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).first()
-    return (got["n"] or 0) / got["t"] if got["t"] else 1.0
+    true = arrow_map(points, ["row", "part", "vec"], "row long, t long", make).groupBy("row").agg(F.sum("t").alias("t")).where("t > 0")
+    got = true.join(counted, "row", "left").agg(F.avg(F.least("t", F.coalesce("m", F.lit(0))) / F.col("t")).alias("recall")).first()
+    return 1.0 if got["recall"] is None else got["recall"]
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", similarity: float = SIMILARITY) -> DataFrame:
@@ -239,16 +241,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     sizes = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect()}
     lists = None
     for attempt in range(ATTEMPTS):
-        begun = start(points, TABLES, attempt, sizes)
-        lists = best_lists(begun if lists is None else lists.unionByName(begun))
+        k = NEIGHBOURS << attempt
+        begun = start(points, TABLES, attempt, sizes, k)
+        lists = best_lists(begun if lists is None else lists.unionByName(begun), k)
         for _ in range(REFINEMENTS):
-            lists = best_lists(refine(points, lists))
+            lists = best_lists(refine(points, lists, k), k)
         near = lists.where(F.col("s") >= similarity)
         links = cut(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        full = links.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS).select("row")
+        full = links.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("row")
         counted, roots = enlarge(points, links, full, similarity)
         if audit(points, counted, similarity) >= RECALL:
             break
+    else:
+        counted, roots = enlarge(points, links, points.select("row"), similarity)
     own = points.join(roots.withColumnRenamed("node", "row"), "row", "left").join(counted, "row", "left")
     own = own.select("digest", "least_id", F.coalesce("root", "row").alias("root"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -337,6 +337,33 @@ def test_near_vectors_saturated(spark, copies):
     assert sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept")) == want
 
 
+def test_audit_is_a_mean_over_vectors(spark):
+    """A large group that is counted whole doesn't outweigh pairs that are lost."""
+    far = np.eye(40)
+    vecs = [far[0]] * 100 + [far[1 + k // 2] for k in range(20)]
+    points = spark.createDataFrame([(k, "0/40", [float(x) for x in v], 1) for k, v in enumerate(vecs)], "row long, part string, vec array<double>, w long")
+    counted = spark.createDataFrame([(k, 99, 99) for k in range(100)], "row long, n long, m long")
+    assert vectors.audit(points, counted, 0.98) == pytest.approx(100 / 120)
+
+
+def test_near_vectors_when_the_audit_fails(spark, monkeypatch):
+    """Lists grow from attempt to attempt; if they find nothing, all vectors are compared."""
+    asked = []
+
+    def none(points, tables, first, sizes, k=vectors.NEIGHBOURS):
+        asked.append(k)
+        return spark.createDataFrame([], "a long, b long, s double")
+
+    monkeypatch.setattr(vectors, "start", none)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    data = dense_groups(rng, (14, 3, 14)) + [(100 + k, [float(x) for x in rng.normal(size=16)], 0) for k in range(20)]
+    data += [(200 + k, data[40][1], 0) for k in range(3)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"))
+    assert got == links_by_hand(data) and asked == [10, 20, 40]
+
+
 # 8: mixing ------------------------------------------------------------------------------------------------------------
 
 
