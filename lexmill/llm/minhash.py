@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut, small, without
+from .common import arrow_map, components, cut, free_name, small
 
 COORDINATES = 64
 #: The chance that a pair of similarity 0.8 agrees in fewer of 64 coordinates is 4e-5.
@@ -89,17 +89,17 @@ def _name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def profile(docs: DataFrame, id_col: str, text_col: str, width: int, marked: bool = False) -> DataFrame:
     """(row, doc_id, n, digest, large, little, brief): size, digest and tokens of every document's set; cut.
 
-    brief holds 16 bits of each coordinate: enough to look for candidates.
+    brief holds 16 bits of each coordinate: enough to look for candidates. If marked, the text's MD5 is in `mark`.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def make():
         known, family = Words(), _family(COORDINATES)
 
-        def run(ids, texts):
+        def run(ids, texts, *marks):
             n, digest, large, little, brief = [], [], [], [], []
             for text in texts:
                 s = shingle_set(text, width, known)
@@ -108,11 +108,12 @@ def profile(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 large.append(signature(s, family) if len(s) >= LARGE else None)
                 little.append(mixed(s + np.uint64(1)).view(np.int64) if 0 < len(s) <= LITTLE else None)
                 brief.append(None if large[-1] is None else large[-1].astype(np.int16).tobytes())
-            return [ids, n, digest, large, little, brief]
+            return [ids, n, digest, large, little, brief, *marks]
 
         return run
 
-    got = arrow_map(docs, [id_col, text_col], f"doc_id {kind}, n long, digest binary, large array<long>, little array<long>, brief binary", make)
+    cols, fields = ([F.md5(text_col)], ", mark string") if marked else ([], "")
+    got = arrow_map(docs, [id_col, text_col, *cols], f"doc_id {kind}, n long, digest binary, large array<long>, little array<long>, brief binary{fields}", make)
     return cut(got.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -171,20 +172,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     set are in one component; a null id is never the least of a component with other ids. Ids may repeat. Other
     columns are not read. No rows in, no rows out. Similarity below 80 isn't supported: the borders above depend on it.
     """
+    rows, of = _rooted(docs, id_col, text_col, width, similarity)
+    least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    placed = rows.where("digest is not null").select("doc_id", "n", "digest").join(of.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return placed.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _rooted(docs, id_col, text_col, width, similarity, marked=False) -> tuple[DataFrame, DataFrame]:
+    """The profile of docs, and (digest, least_id, root) of its classes."""
     if similarity < 80:
         raise ValueError("similarity must be 80 at least")
     share = similarity / 100
-    rows = profile(docs, id_col, text_col, width)
+    rows = profile(docs, id_col, text_col, width, marked)
     full = rows.where("digest is not null")
     classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("large").alias("large"), F.first("little").alias("little"))
     posts = postings(classes, share)
     names = cut(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
     linked = _components(docs, id_col, text_col, width, similarity, rows, names, posts)
-    of = names.join(linked, "node", "left").select("digest", "least_id", F.coalesce("root", "node").alias("root"))
-    least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    placed = full.select("doc_id", "n", "digest").join(of.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return placed.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, names.join(linked, "node", "left").select("digest", "least_id", F.coalesce("root", "node").alias("root"))
 
 
 def _components(docs, id_col, text_col, width, similarity, rows, names, posts) -> DataFrame:
@@ -430,6 +436,23 @@ def linked_pairs(a: list[np.ndarray], b: list[np.ndarray], similarity: int) -> n
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs that near_dedup keeps: of each component that of the least id."""
-    gone = cut(near_dedup(docs, id_col, text_col, width, similarity).where("not kept").select("doc_id"))
-    return without(docs, gone, id_col)
+    """One row of docs of each of near_dedup's components, and all rows without a set, with all their columns.
+
+    The row of the least id stays, null ids after all others; of several texts under that id that of the least MD5,
+    and of rows that share text and id any one. Rows leave by (id, MD5 of the text), so that no other row of their id
+    does, at the map side when their count shows that they fit.
+    """
+    rows, of = _rooted(docs, id_col, text_col, width, similarity, marked=True)
+    placed = cut(rows.select("doc_id", "mark", "digest").join(of.select("digest", "root"), "digest").drop("digest"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = placed.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    pair = placed.join(first, "root").groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__md5")).agg(F.max(own).alias("__kept"), F.count("*").alias("__n"))
+    pair = cut(pair.where("not __kept or __n > 1"))
+    again = not pair.where("__kept").isEmpty()
+    pair = F.broadcast(pair) if small(pair, 128) else pair
+    mark = free_name(docs, "__text_mark")
+    joined = docs.withColumn(mark, F.md5(text_col)).join(pair, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__md5")), "left")
+    whole = joined.where("coalesce(__kept, true)").select(*docs.columns, mark, F.coalesce("__n", F.lit(1)).alias("__n"))
+    once = whole.where("__n = 1").select(*docs.columns)
+    return once.unionByName(whole.where("__n > 1").dropDuplicates([id_col, mark]).select(*docs.columns)) if again else once

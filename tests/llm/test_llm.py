@@ -495,6 +495,25 @@ def test_near_dedup_odd(spark, odd):
         minhash.near_dedup(odd, similarity=50)
 
 
+def test_keep_one_with_null_and_clashing_ids(spark):
+    """One row of each component stays, and no row leaves because another has its id."""
+    rng = random.Random(5)
+    a, b, c, d, e, f, g = (words_of(rng, 60, 5000) for _ in range(7))
+    data = [
+        (1, a, "s"), (None, a + " x", "s"), (None, b, "s"), (None, None, "s"), (None, "", "s"),  # a null id near a document with an id, and others
+        (None, c, "s"), (None, c + " y", "s"), (None, c, "s"),  # near copies and a copy, all without id
+        (2, d, "s"), (9, d + " z", "s"), (9, e, "s"),  # an id of two texts, one a near copy
+        (4, f, "s"), (4, f, "s"), (5, f + " t", "s"), (6, g, "s"), (6, g.upper(), "s"), (7, "", "s"), (7, "", "s"),
+    ]
+    df = table(spark, data)
+    kept = minhash.keep_one(df)
+    got = Counter((i, t if t is None else t.lower()) for i, t in rows(kept, "doc_id", "text"))
+    c_kept = [x for x in got if x[1] in (c, c + " y")]
+    assert len(c_kept) == 1 and got.pop(c_kept[0]) == 1
+    assert got == Counter({(1, a): 1, (None, b): 1, (None, None): 1, (None, ""): 1, (2, d): 1, (9, e): 1, (4, f): 1, (6, g): 1, (7, ""): 2})
+    assert kept.columns == df.columns
+
+
 def test_linked_pairs():
     rng = np.random.default_rng(0)
     for _ in range(15):
