@@ -201,6 +201,19 @@ def test_lm_base_scores_and_sums(spark):
     assert sum(r["score"] for r in full) > sum(r["base_score"] for r in full)
 
 
+def test_lm_end_token_beyond_the_known(spark, monkeypatch):
+    """Few long texts: more words are as frequent as the end token than workers hold."""
+    every = lm.frequent
+    monkeypatch.setattr(lm, "frequent", lambda counts: every(counts, 5))
+    data = [(k, " ".join([f"w{j}" for j in range(30)] + ["often"] * 9), "s") for k in range(12)]
+    data = [d for d in data if __import__("zlib").crc32(str(d[0]).encode()) % 5 != 1]
+    counts = Counter(w for _, t, _ in data for w in [*t.split(), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    for r in lm.lm_scores(table(spark, data)).collect():
+        assert r["n_known"] == r["n_tokens"] == 40
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*data[0][1].split(), "\n"]))
+
+
 def test_nce_is_normalised_and_learns():
     rng = np.random.default_rng(4)
     pairs = np.zeros((lm.CLASSES, lm.CLASSES), np.float32)
