@@ -2,15 +2,17 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from compare import same
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, common, exact_dedup, lm, minhash, mixing, pii, quality, queries, toxicity, url_filter, vectors
+from lexmill.llm import bpe, common, exact_dedup, lbl, lm, minhash, mixing, pii, quality, queries, toxicity, url_filter, vectors
 
 DOCS = "doc_id long, text string, source string, TEXT_SHA256 string, row long, kept string, n long"  # names that results use, too
 
@@ -179,21 +181,26 @@ def test_expectation_maximisation_finds_accuracies():
 # 5: language model ----------------------------------------------------------------------------------------------------
 
 
+def held_out(k):
+    return zlib.crc32(b"" if k is None else str(k).encode()) % 5 == 1
+
+
+LM_DATA = [(k, " ".join(f"{'aeiou'[j % 5]}{(k * 7 + j * 3) % 50}" for j in range(40)), "s") for k in range(60)]
+
+
 def test_lm_base_scores_and_sums(spark):
-    rng = random.Random(2)
-    data = [(k, " ".join(f"{'aeiou'[j % 5]}{rng.randrange(50)}" for j in range(40)), "s") for k in range(60)] + [(100, None, "s"), (101, "NEW a1", "s"), (100, None, "s"), (None, "b", "s")]
+    data = [*LM_DATA, (100, None, "s"), (101, "NEW a1", "s"), (100, None, "s"), (None, "b", "s")]
     got = lm.lm_scores(table(spark, data)).collect()
-    held = lambda k: k is not None and __import__("zlib").crc32(str(k).encode()) % 5 == 1 or k is None and __import__("zlib").crc32(b"") % 5 == 1
-    tokens = {k: (t or "").lower().split() + ["\n"] for k, t, _ in data}
+    tokens = {k: [*(t or "").lower().split(), "\n"] for k, t, _ in data}
     counts = Counter()
     for k, t, _ in data:
-        if not held(k):
-            counts.update((t or "").lower().split() + ["\n"])
+        if not held_out(k):
+            counts.update([*(t or "").lower().split(), "\n"])
     n, v = sum(counts.values()), len(counts)
     assert len(got) == len(data)
     for r in got:
         t = tokens[r["doc_id"]]
-        assert r["train_tokens"] == n and r["n_tokens"] == len(t) and r["held_out"] == held(r["doc_id"])
+        assert r["train_tokens"] == n and r["n_tokens"] == len(t) and r["held_out"] == held_out(r["doc_id"])
         assert r["n_known"] == sum(counts[w] > 0 for w in t)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
         assert r["score"] < 0
@@ -201,12 +208,92 @@ def test_lm_base_scores_and_sums(spark):
     assert sum(r["score"] for r in full) > sum(r["base_score"] for r in full)
 
 
+def slow_lm(model, counts):
+    """P(word | three words before) from the network's numbers by an explicit softmax; None stands for an unseen word."""
+    v, net = model.vocabulary, model.scorer
+    words = {w: i for i, w in enumerate(v.words.to_pylist())}
+    number = lambda w: words[w] if w in words else len(words) + lm.kind_of(w[-lm.ENDING :])
+    mass = {}
+    for w, c in counts.items():
+        i = number(w)
+        if v.slots[i] == lbl.SLOTS - 1:
+            mass[v.classes[i]] = mass.get(v.classes[i], 0.5) + c + 0.5
+
+    def p(word, before, c=None):
+        h = sum(net.turned[k][v.inputs[number(w)]].astype(float) for k, w in enumerate(before))
+        i = None if word is None else number(word)
+        k, slot = (c, lbl.SLOTS - 1) if word is None else (v.classes[i], v.slots[i])
+        s, t = np.exp(net.q.astype(float) @ h), np.exp(net.u[k].astype(float) @ h)
+        part = (counts.get(word, 0) + 0.5) / mass.get(k, 0.5) if slot == lbl.SLOTS - 1 else 1.0
+        return s[k] / s.sum() * t[slot] / t.sum() * part
+
+    return p
+
+
+def test_lm_is_normalised_over_the_vocabulary(spark, monkeypatch):
+    """Every probability by brute force: they add up to one over all words, and scores are their products."""
+    every = lm.frequent
+    monkeypatch.setattr(lm, "frequent", lambda counts: every(counts, 120))  # the other words are joined
+    monkeypatch.setattr(lm, "PIECE", 700)
+    data = [*LM_DATA, (201, "a1 NEVER seen, a1", "s"), (202, None, "s"), (203, "  e4\n\ta1 e4 ", "s")]
+    df = table(spark, data)
+    model, counted = lm.fit(df, "doc_id", "text")
+    counts = {r["token"]: r["c"] for r in counted.collect()}
+    assert len(counts) > 130 > len(model.vocabulary.words)
+    p = slow_lm(model, counts)
+    for before in (("\n", "\n", "\n"), ("a1", "u4", "\n"), ("zzz", "i9", "e1")):
+        assert sum(p(w, before) for w in counts) + sum(p(None, before, c) for c in range(lbl.CLASSES)) == pytest.approx(1, abs=1e-4)
+    monkeypatch.setattr(lm, "fit", lambda *a: (model, counted))
+    texts = {k: t for k, t, _ in data}
+    for r in lm.lm_scores(df).collect():
+        w = ["\n"] * 3 + (texts[r["doc_id"]] or "").lower().split() + ["\n"]
+        assert r["score"] == pytest.approx(sum(math.log10(p(w[k], (w[k - 1], w[k - 2], w[k - 3]))) for k in range(3, len(w))), abs=1e-3)
+
+
+def test_lm_rounds_in_many_tasks(spark, monkeypatch):
+    """Copies trained in several tasks are averaged by a tree of sums, and what they learn stays."""
+    monkeypatch.setattr(lm, "TOKENS_A_TASK", 300)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    rng = random.Random(4)
+    data = [(k, " ".join(f"w{(7 * j + k) % 20}" if rng.random() < 0.9 else f"x{rng.randrange(300)}" for j in range(60)), "s") for k in range(150)]
+    got = lm.lm_scores(table(spark, data).repartition(9)).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert got[0] > got[1] + 0.3
+
+
+def test_network_learns_and_is_normalised():
+    """Each word is followed by one of two: noise-contrastive estimation finds them, and the softmax agrees with a slow one."""
+    rng = np.random.default_rng(4)
+    net = lbl.Network(40, np.ones(8), np.ones((8, 8)))
+    for _ in range(400):
+        before = rng.integers(0, 40, (lbl.PLACES, 256))
+        net.learn(before, before[0] % 8, (before[1] % 4) + 4 * rng.integers(0, 2, 256), rng)
+    before = rng.integers(0, 40, (lbl.PLACES, 50))
+    own = net.scorer()
+    p = np.exp([[own.log_p(before, np.full(50, c), np.full(50, s)) for s in range(8)] for c in range(8)])
+    assert p.sum((0, 1)) == pytest.approx(np.ones(50), abs=1e-4)
+    assert p.sum(1)[before[0] % 8, np.arange(50)].mean() > 0.9
+    right = p[before[0] % 8, before[1] % 4, np.arange(50)] + p[before[0] % 8, before[1] % 4 + 4, np.arange(50)]
+    assert right.mean() > 0.8
+    h, far = np.ones((3, 2), np.float32), np.array([[90, 90], [-90, -90], [80, 90]], np.float32)  # beyond single precision
+    assert lbl.normalised(h, far, np.array([0, 0, 2])) == pytest.approx([0, 0, -10], abs=1e-3)
+
+
+def test_words_split_as_bytes_do():
+    rng = random.Random(3)
+    texts = [None, "", " ", "a", " a  b ", "ÀB\u00a0c\u2003D", *("".join(rng.choice(" \t\n\v\f\r\x1c\x85\u00a0aBé") for _ in range(12)) for _ in range(400))]
+    words, n = lm.split(pa.array(texts, pa.string()))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in (t or "").encode().lower().split()]
+    assert n.tolist() == [len((t or "").encode().split()) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    assert [x for p in lm.pieces([batch], 0) for x in p.column(0).to_pylist()] == texts
+
+
 def test_lm_end_token_beyond_the_known(spark, monkeypatch):
-    """Few long texts: more words are as frequent as the end token than workers hold."""
+    """Few long texts: more words are as frequent as the end token than workers hold. It is known all the same."""
     every = lm.frequent
     monkeypatch.setattr(lm, "frequent", lambda counts: every(counts, 5))
     data = [(k, " ".join([f"w{j}" for j in range(30)] + ["often"] * 9), "s") for k in range(12)]
-    data = [d for d in data if __import__("zlib").crc32(str(d[0]).encode()) % 5 != 1]
+    data = [d for d in data if not held_out(d[0])]
     counts = Counter(w for _, t, _ in data for w in [*t.split(), "\n"])
     n, v = sum(counts.values()), len(counts)
     for r in lm.lm_scores(table(spark, data)).collect():
@@ -214,21 +301,10 @@ def test_lm_end_token_beyond_the_known(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*data[0][1].split(), "\n"]))
 
 
-def test_nce_is_normalised_and_learns():
-    rng = np.random.default_rng(4)
-    pairs = np.zeros((lm.CLASSES, lm.CLASSES), np.float32)
-    for k in range(40):
-        pairs[k, (k + 1) % 40] = 500
-        pairs[k, :40] += rng.integers(0, 5, 40)
-    log_p = lm.train_nce(pairs)
-    assert np.allclose((10.0**log_p).sum(1), 1, atol=1e-3)
-    assert all(log_p[k].argmax() == (k + 1) % 40 for k in range(40))
-    assert np.allclose((10.0 ** lm.train_nce(np.zeros((8, 8), np.float32))).sum(1), 1, atol=1e-3)
-
-
 def test_lm_on_nothing(spark, odd):
     assert lm.lm_scores(odd.where("false")).isEmpty()
-    assert lm.lm_scores(odd).count() == len(ODD)
+    got = Counter((r["doc_id"], r["n_tokens"], r["held_out"]) for r in lm.lm_scores(odd).collect())
+    assert got == Counter((k, len((t or "").encode().split()) + 1, held_out(k)) for k, t, _ in ODD)
 
 
 # 6: personal data -----------------------------------------------------------------------------------------------------
