@@ -499,6 +499,24 @@ def test_chunks_do_not_change_tokens():
         assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\u3000", " \t", "é", "a", "!", "7", "日本", "\x1c"])
+def test_bpe_of_very_long_runs(unit):
+    """Two million characters of a kind neither crash nor differ from what the library gives for as much as it can take."""
+    path, pattern = bpe.default_ranks()
+    enc, whole = bpe.encoding(path, pattern), bpe.encoding(path, bpe.WHOLE)
+    for text in (unit * (300_000 // len(unit)), "x" + unit * 30_000 + "y z", unit * 10_000 + " ok " + unit * 10_001, unit * 9_999 + "1", unit * 50_000):
+        assert bpe.encode(text, enc, whole) == enc.encode_ordinary(text)
+    for text in (unit * (2_000_000 // len(unit)), "a " + unit * (2_000_000 // len(unit)) + "x"):
+        assert enc.decode_bytes(bpe.encode(text, enc, whole)) == text.encode()
+
+
+def test_bpe_of_many_blank_runs():
+    path, pattern = bpe.default_ranks()
+    enc, whole = bpe.encoding(path, pattern), bpe.encoding(path, bpe.WHOLE)
+    text = ("a" + " " * 9_990) * 150 + ("b" + "\t" * 12_000 + " ") * 20
+    assert bpe.encode(text, enc, whole) == enc.encode_ordinary(text)
+
+
 def test_bpe(spark, odd):
     data = [(k, t, "s") for k, t in enumerate(TEXTS)] + [(50, None, "s"), (51, " ".join(TEXTS) * 900, "s"), (51, "again", "s")]
     path, pattern = bpe.default_ranks()
