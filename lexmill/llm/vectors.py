@@ -28,7 +28,7 @@ TABLES, GROUP = 6, 40
 REFINEMENTS = 2
 #: Points of a label that one task compares with as many others at a time.
 BLOCK = 512
-AUDITED, RECALL, ATTEMPTS = 200, 0.99, 3
+AUDITED, RECALL, ATTEMPTS, MARGIN = 200, 0.99, 3, 0.03
 
 
 def units(vecs: list) -> np.ndarray:
@@ -38,26 +38,27 @@ def units(vecs: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(row, vec_id, part, vec, digest): vectors that can link, components as they came; cut. part: label and length.
+def marked(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """(row, vec_id, part, vec, digest) of every row; cut. part: label and length; digest: of part and vector, equal for equal ones.
 
-    digest is one of part and vector, the same for equal ones.
+    part, vec and digest are null where a vector can't link.
     """
     kind, element = (vectors.select(c).schema[0].dataType.simpleString() for c in (id_col, vec_col))
     element = element if element in ("array<float>", "array<double>") else "array<double>"
 
     def make():
         def run(ids, vecs, labels):
-            out = [[], [], [], []]
-            for i, v, label in zip(ids, vecs, labels, strict=True):
+            out = [ids, [], [], []]
+            for v, label in zip(vecs, labels, strict=True):
+                part = digest = None
                 if v and label is not None and None not in v:
                     x = np.asarray(v, np.float64) + 0.0  # -0.0 becomes 0.0
                     top = np.abs(x).max()  # NaN if there is any
                     if np.isfinite(top) and top > 0:
                         part = f"{label}/{len(v)}"
                         digest = hashlib.blake2b(part.encode() + b"\n" + x.tobytes(), digest_size=16).digest()
-                        for col, value in zip(out, (i, part, v, digest), strict=True):
-                            col.append(value)
+                for col, value in zip(out[1:], (part, v if part else None, digest), strict=True):
+                    col.append(value)
             return out
 
         return run
@@ -69,7 +70,7 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
 def distinct_points(vectors: DataFrame) -> DataFrame:
     """(row, part, vec, digest, w, least_id): equal vectors of a label as one, their number and least id beside it; cut."""
     first = F.first(F.struct("part", "vec")).alias("v")
-    return cut(vectors.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("w"), F.min("vec_id").alias("least_id"), first).select("row", "v.part", "v.vec", "digest", "w", "least_id"))
+    return cut(vectors.where("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("w"), F.min("vec_id").alias("least_id"), first).select("row", "v.part", "v.vec", "digest", "w", "least_id"))
 
 
 def _nearest(ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,9 +197,26 @@ def enlarge(points: DataFrame, links: DataFrame, wanted: DataFrame, similarity:
     return cut(listed.unionByName(found.where("to < 0").drop("to")).groupBy("row").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))), roots
 
 
-def audit(points: DataFrame, counted: DataFrame, similarity: float) -> float:
+def to_audit(points: DataFrame, lists: DataFrame, similarity: float, most: int) -> list:
+    """Points to audit, drawn label by label by hash: up to half of them among those listed beside something nearly linked.
+
+    Where links are rare, points drawn from all would hardly have any, and the audit would say nothing.
+    """
+
+    def drawn(of: DataFrame, n: int) -> list:
+        h = F.xxhash64("row")
+        turn = F.row_number().over(Window.partitionBy("part").orderBy(h))
+        return of.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", h).limit(n).select("row", "part", "vec").collect()
+
+    near = lists.where(F.col("s") >= similarity - MARGIN).select(F.col("a").alias("row")).distinct()
+    some = drawn(points.join(near, "row", "left_semi"), most // 2)
+    known = {r["row"] for r in some}
+    return some + [r for r in drawn(points, most - len(some)) if r["row"] not in known]
+
+
+def audit(points: DataFrame, lists: DataFrame, counted: DataFrame, similarity: float) -> float:
     """Mean recall of linked points over those of AUDITED that have any, by brute force against all of their label."""
-    some = points.orderBy(F.xxhash64("row")).limit(AUDITED).collect()
+    some = to_audit(points, lists, similarity, AUDITED)
     if not some:
         return 1.0
     by_part: dict[str, tuple[list[int], list]] = {}
@@ -234,9 +252,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors link within a label if their cosine in double precision is at least `similarity`. Null, empty and zero
     vectors, those with null or non-finite components, and null labels link with nothing; vectors of different lengths
     don't link. component_id is the least vec_id reachable; a row without links is its own. Repeated rows are vectors of
-    their own, linked with each other. Other columns are not read. No rows in, no rows out.
+    their own, linked with each other; rows that share an id, or have none, have each their own result, and a null id is
+    the least of a component only if there is no other. Other columns are not read. No rows in, no rows out.
     """
-    rows = valid(vectors, id_col, vec_col, label_col)
+    rows = marked(vectors, id_col, vec_col, label_col)
     points = distinct_points(rows)
     sizes = {r["part"]: r["n"] for r in points.groupBy("part").agg(F.count("*").alias("n")).collect()}
     lists = None
@@ -250,7 +269,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         links = cut(near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
         full = links.groupBy(F.col("a").alias("row")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("row")
         counted, roots = enlarge(points, links, full, similarity)
-        if audit(points, counted, similarity) >= RECALL:
+        if audit(points, lists, counted, similarity) >= RECALL:
             break
     else:
         counted, roots = enlarge(points, links, points.select("row"), similarity)
@@ -259,7 +278,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
     settled = cut(own.join(least, "root").select("digest", "n", "component_id"))
     settled = F.broadcast(settled) if small(settled, 128) else settled
-    linked = cut(rows.select("vec_id", "digest").join(settled, "digest").groupBy("vec_id").agg(F.max("n").alias("n_links"), F.min("component_id").alias("component_id")))
-    every = vectors.select(F.col(id_col).alias("vec_id"))
-    out = every.join(linked.withColumnRenamed("vec_id", "__v"), F.col("vec_id") == F.col("__v"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = rows.select("vec_id", "digest").join(settled, "digest", "left")
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

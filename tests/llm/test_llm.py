@@ -373,8 +373,8 @@ def links_by_hand(data):
             for y in links[stack.pop()] - seen:
                 seen.add(y)
                 stack.append(y)
-        least[k] = min(data[y][0] for y in seen)
-    return sorted((d[0], len(links[k]), least[k], d[0] == least[k]) for k, d in enumerate(data))
+        least[k] = min((data[y][0] for y in seen if data[y][0] is not None), default=None)
+    return sorted(((d[0], len(links[k]), least[k], d[0] == least[k]) for k, d in enumerate(data)), key=str)
 
 
 def test_near_vectors(spark):
@@ -397,7 +397,7 @@ def test_near_vectors(spark):
     for v, label in ((None, 1), ([], 1), ([0.0] * 16, 1), ([1.0, None], 1), ([1.0, float("nan")], 1), ([1.0, float("inf")], 1), ([1.0, 2.0], None), ([1.0, 2.0], 1), ([2.0, 4.0], 1), ([1e-30] * 16, 2), ([1e-30] * 16, 2)):
         add(v, label)
     df = spark.createDataFrame([(*d, "z") for d in data], "vec_id long, embedding array<double>, label int, row string")
-    got = sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"))
+    got = sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"), key=str)
     assert got == links_by_hand(data)
     assert vectors.near_vectors(df.where("false")).isEmpty()
 
@@ -422,8 +422,8 @@ def test_near_vectors_saturated(spark, copies):
     data += [(300 + 30 * k + j, data[k][1], data[k][2]) for k in (0, 30, 65) for j in range(copies)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
     want = links_by_hand(data)
-    assert len({c for i, _, c, _ in want if i < 60}) == 1 == len({c for i, _, c, _ in want if 100 <= i < 124})
-    assert sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept")) == want
+    assert len({c for i, _, c, _ in want if i is not None and i < 60}) == 1 == len({c for i, _, c, _ in want if 100 <= i < 124})
+    assert sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"), key=str) == want
 
 
 def test_audit_is_a_mean_over_vectors(spark):
@@ -432,7 +432,34 @@ def test_audit_is_a_mean_over_vectors(spark):
     vecs = [far[0]] * 100 + [far[1 + k // 2] for k in range(20)]
     points = spark.createDataFrame([(k, "0/40", [float(x) for x in v], 1) for k, v in enumerate(vecs)], "row long, part string, vec array<double>, w long")
     counted = spark.createDataFrame([(k, 99, 99) for k in range(100)], "row long, n long, m long")
-    assert vectors.audit(points, counted, 0.98) == pytest.approx(100 / 120)
+    lists = spark.createDataFrame([], "a long, b long, s double")
+    assert vectors.audit(points, lists, counted, 0.98) == pytest.approx(100 / 120)
+
+
+def test_audit_finds_rare_links(spark, monkeypatch):
+    """Of 3,000 points two are linked: they are drawn, as their lists say that they are near."""
+    monkeypatch.setattr(vectors, "AUDITED", 20)
+    rng = np.random.default_rng(2)
+    vecs = [rng.normal(size=12) for _ in range(3000)]
+    vecs[1777] = vecs[5] + 0.01
+    points = spark.createDataFrame([(k, f"{k % 7}/12" if k not in (5, 1777) else "3/12", [float(x) for x in v], 1) for k, v in enumerate(vecs)], "row long, part string, vec array<double>, w long")
+    lists = spark.createDataFrame([(5, 1777, 0.97), (8, 9, 0.5)], "a long, b long, s double")
+    assert vectors.audit(points, lists, spark.createDataFrame([(5, 0, 0)], "row long, n long, m long"), 0.98) == 0.0
+    assert vectors.audit(points, lists, spark.createDataFrame([(5, 1, 1)], "row long, n long, m long"), 0.98) == 1.0
+
+
+def test_near_vectors_with_null_and_repeated_ids(spark):
+    """Each row has its own result, whatever other row has its id."""
+    data = [(None, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (5, [3.0, -1.0], 1), (5, [1.0, 2.001], 1), (None, None, 1), (None, [0.0, 0.0], 1), (None, [-1.0, 1.0], 2), (None, [-1.0, 1.0], 2), (7, [9.0, 9.0], None)]
+    df = spark.createDataFrame([(*d, "z", 1) for d in data], "vec_id long, embedding array<double>, label int, digest string, n_links int")
+    assert sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"), key=str) == links_by_hand(data)
+
+
+def test_near_vectors_with_very_many_copies(spark):
+    """Copies are one point: 100,000 of them are no work of their own."""
+    df = spark.range(100_000).selectExpr("id as vec_id", "array(1.0D, 2.0D, 3.0D) as embedding", "1 as label").union(spark.createDataFrame([(200_000, [1.0, 2.0, 3.01], 1), (200_001, [-1.0, 0.0, 0.0], 1)], "vec_id long, embedding array<double>, label int"))
+    got = vectors.near_vectors(df).groupBy("n_links", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(100_000, 0, 100_001), (0, 200_001, 1)}
 
 
 def test_near_vectors_when_the_audit_fails(spark, monkeypatch):
@@ -449,7 +476,7 @@ def test_near_vectors_when_the_audit_fails(spark, monkeypatch):
     data = dense_groups(rng, (14, 3, 14)) + [(100 + k, [float(x) for x in rng.normal(size=16)], 0) for k in range(20)]
     data += [(200 + k, data[40][1], 0) for k in range(3)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
-    got = sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"))
+    got = sorted(rows(vectors.near_vectors(df), "vec_id", "n_links", "component_id", "kept"), key=str)
     assert got == links_by_hand(data) and asked == [10, 20, 40]
 
 
