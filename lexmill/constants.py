@@ -73,14 +73,29 @@ DEFAULT_QUERIES = (
 )
 
 # Pages from which a crawl starts.
-_MDN = "https://developer.mozilla.org/en-US/docs/"
 START_URLS = (
-    *("https://docs.python.org/3/" + p + "/index.html" for p in ("tutorial", "library", "reference", "howto")),
-    *(_MDN + p for p in (
-        "Web/JavaScript/Guide", "Web/JavaScript/Reference", "Web/API", "Web/JavaScript/Reference/Global_Objects",
-        "Web/JavaScript/Reference/Statements", "Web/JavaScript/Reference/Operators", "Web/HTML/Element",
-        "Web/CSS/Reference", "Web/API/Fetch_API", "Web/API/Document_Object_Model", "Web/API/Window",
-        "Web/API/EventTarget", "Web/API/Promise", "Learn/JavaScript",
-    )),
-)
+    "https://docs.python.org/3/tutorial/index.html",
+    "https://docs.python.org/3/library/index.html",
+    "https://docs.python.org/3/reference/index.html",
+    "https://docs.python.org/3/howto/index.html",
+    "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Guide",
+    "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference",
+    "https://developer.mozilla.org/en-US/docs/Web/API",
+    "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference/Global_Objects",
+    "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference/Statements",
+    "https://developer.mozilla.org/en-US/docs/Web/JavaScript/Reference/Operators",
+    "https://developer.mozilla.org/en-US/docs/Web/HTML/Element",
+    "https://developer.mozilla.org/en-US/docs/Web/CSS/Reference",
+    "https://developer.mozilla.org/en-US/docs/Web/API/Fetch_API",
+    "https://developer.mozilla.org/en-US/docs/Web/API/Document_Object_Model",
+    "https://developer.mozilla.org/en-US/docs/Web/API/Window",
+    "https://developer.mozilla.org/en-US/docs/Web/API/EventTarget",
+    "https://developer.mozilla.org/en-US/docs/Web/API/Promise",
+    "https://developer.mozilla.org/en-US/docs/Learn/JavaScript",
+)
+MOST_PAGES = 10000
+
+# Terms looked up to try a new index.
+SMOKE_TERMS = ("python", "list", "function", "error", "async")
+
 EFFECTIVE_STOP_WORDS = STOP_WORDS - PROGRAMMING_WORDS

@@ -1,15 +1,31 @@
-"""Cutting lineage so that loops survive lost executors."""
+"""Cutting lineage so that loops survive lost executors, and checks of size before a broadcast."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A side is broadcast only when its counted rows times their width stay below this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; a folder is made here only if the session names none."""
+    """df written to the session's checkpoint folder. Where the session names none, a local session gets one of its own; a cluster's raises."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, row_bytes: int) -> bool:
+    """Whether df, counted, may be broadcast. Count a cut table: counting another computes it twice."""
+    return df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if small(df, row_bytes) else df

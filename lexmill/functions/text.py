@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from ..constants import EFFECTIVE_STOP_WORDS, SNIPPET_LENGTH
 
-#: White space, Unicode's included, as (?U) makes \s mean.
+# What separates tokens of code, and parts of a name; white space is Unicode's, as (?U) makes \s mean.
 CODE_BREAKS = r"""(?U)[\s\(\)\[\]\{\},:;=<>!+\-*/&|^~%"'`\\@#]+"""
 NAME_BREAKS = r"(?U)[\s_.\-]+"
 
@@ -54,12 +54,25 @@ def snippet(text: Column, most: int = SNIPPET_LENGTH) -> Column:
     return F.when(F.length(t) <= most, t).otherwise(F.concat(cut, F.lit("...")))
 
 
+def _marked(terms: list[str]) -> str | None:
+    words = [t for t in sorted(set(terms), key=lambda t: (-len(t), t)) if t]
+    return "(?i)(" + "|".join(map(re.escape, words)) + ")" if words else None
+
+
+def mark_terms(text: str, terms: list[str], mark: str = "**") -> str:
+    """highlight for a line that is shown."""
+    pattern = _marked(terms)
+    return re.sub(pattern, rf"{mark}\1{mark}", text) if pattern else text
+
+
 def highlight(text: Column, terms: list[str], mark: str = "**") -> Column:
     """text with each occurrence of a term, in any case, between marks; longer terms first."""
-    words = [t for t in sorted(set(terms), key=lambda t: (-len(t), t)) if t]
-    if not words:
-        return text
-    return F.regexp_replace(text, "(?i)(" + "|".join(map(re.escape, words)) + ")", f"{mark}$1{mark}")
+    pattern = _marked(terms)
+    return F.regexp_replace(text, pattern, f"{mark}$1{mark}") if pattern else text
+
+
+# What a window is cleaned of, in this order.
+CLEAN_UP = ((r"<[^>]+>", ""), (r"&\w+;", " "), (r"\s+", " "))
 
 
 def window_of(text: str | None, terms: list[str] | None, width: int = 150) -> str:
@@ -67,7 +80,10 @@ def window_of(text: str | None, terms: list[str] | None, width: int = 150) -> st
 
     Tags and entities go first. Without a term or a match, or in a short text, the beginning.
     """
-    bare = re.sub(r"\s+", " ", re.sub(r"&\w+;", " ", re.sub(r"<[^>]+>", "", text or ""))).strip()
+    bare = text or ""
+    for pattern, by in CLEAN_UP:
+        bare = re.sub(pattern, by, bare)
+    bare = bare.strip()
     wanted = [t for t in (terms if terms is not None else ()) if t]
     places = [m.start() for m in re.finditer("|".join(map(re.escape, wanted)), bare, re.IGNORECASE)] if wanted and len(bare) > width else []
     starts = [max(0, p - width // 2) for p in places]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EVAL_DEPTH
-from ..functions.durable import cut
+from ..functions.durable import broadcast_if_small, cut
 from .feedback import rocchio
 from .index import Index
 from .search import query_terms, rerank, score_vectors
@@ -33,6 +33,32 @@ def ndcg_reference(hits: Column, early: Column, k: int = 10) -> Column:
     return F.when(hits > 0, (c / F.when(hits > 0, m) * at + rest) / F.when(hits > 0, at)).otherwise(0.0)
 
 
+def containing(docs: DataFrame, queries: DataFrame, width: int = 3) -> DataFrame:
+    """(query_id, doc_id): documents (doc_id, text) that contain a query's text (query_id, query), as known items.
+
+    A query's words but the first and the last are whole words of any text that contains it. Its longest run of `width`
+    of these is its key; documents meet it under the key, by an equi-join, and are then searched for the whole query.
+    Queries too short for a key are searched for in all documents, in one pass. Null and empty queries are contained
+    nowhere.
+    """
+    queries = queries.where("query is not null and query != ''")
+    inner = F.split("query", r"\s+")
+    keyed = cut(queries.withColumn("__runs", _runs(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), width)).withColumn("__key", F.array_max(F.transform("__runs", lambda x: F.struct(F.length(x), x.alias("k"))))["k"]).drop("__runs"))
+    keys = broadcast_if_small(keyed.where("__key is not null"), 1024)
+    met = docs.select("doc_id", "text", F.explode(F.array_distinct(_runs(F.split("text", r"\s+"), width))).alias("__key")).join(keys, "__key")
+    found = met.where(F.contains("text", "query")).select("query_id", "doc_id")
+    short = keyed.where("__key is null").drop("__key")
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(broadcast_if_small(short, 256), F.contains("text", "query")).select("query_id", "doc_id"))
+    return found
+
+
+def _runs(words: Column, width: int) -> Column:
+    """All runs of `width` words, joined by spaces."""
+    n = F.size(words) - width
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+
+
 def metrics_per_query(results: DataFrame, qrels: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., query_id, p5, p10, mrr, ndcg_ref, ndcg_std): one row per judged query, 0 without results.
 
@@ -44,7 +70,7 @@ def metrics_per_query(results: DataFrame, qrels: DataFrame, by: list[str] | None
     seen = results.where(F.col("rank") <= EVAL_DEPTH).join(judged.withColumn("hit", F.lit(True)), ["query_id", "doc_id"]).groupBy(*by, "query_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
     every = judged.select("query_id").distinct()
     if by:
-        every = every.crossJoin(F.broadcast(results.select(*by).distinct()))  # one row a system
+        every = every.crossJoin(results.select(*by).distinct())  # one row a system
     r = F.coalesce("ranks", F.array().cast("array<bigint>"))
 
     def upto(k: Column | int) -> Column:
@@ -75,22 +101,23 @@ def oracle_rocchio(queries: DataFrame, qrels: DataFrame, index: Index, top_k: in
 
     A query without any keeps its baseline, not re-ranked.
     """
-    terms = query_terms(queries, stem, stop)
+    terms = cut(query_terms(queries, stem, stop))
     vectors = terms.withColumn("weight", F.lit(1.0))
-    baseline = cut(score_vectors(vectors, index, "bm25", top_k, boost=False)) if baseline is None else baseline
-    found = baseline.select("query_id", "doc_id").join(qrels.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).withColumn("relevant", F.lit(True))
+    baseline = cut(score_vectors(vectors, index, "bm25", top_k, boost=False, terms=terms)) if baseline is None else baseline
+    found = cut(baseline.select("query_id", "doc_id").join(qrels.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).withColumn("relevant", F.lit(True)))
     lucky = found.select("query_id").distinct()
-    refined = rerank(score_vectors(rocchio(vectors.join(lucky, "query_id", "left_semi"), found, index), index, "bm25", top_k, boost=False), terms)
-    return refined.unionByName(baseline.join(lucky, "query_id", "left_anti"))
+    refined = cut(rocchio(vectors.join(lucky, "query_id", "left_semi"), found, index))
+    again = rerank(score_vectors(refined, index, "bm25", top_k, boost=False, terms=refined), terms)
+    return again.unionByName(baseline.join(lucky, "query_id", "left_anti"))
 
 
 def run_experiments(queries: DataFrame, qrels: DataFrame, index: Index, stem: bool = True, stop: bool = True) -> DataFrame:
     """(experiment, p5, p10, mrr, ndcg_ref, ndcg_std, n_queries): the six rows, three of them one computation."""
-    terms = query_terms(queries, stem, stop)
+    terms = cut(query_terms(queries, stem, stop))
     vectors = terms.withColumn("weight", F.lit(1.0))
     columns = ["query_id", "rank", "doc_id"]
-    baseline = cut(score_vectors(vectors, index, "bm25", EVAL_DEPTH, boost=False))  # a few rows a query, used in three rows
-    tfidf = rerank(score_vectors(vectors, index, "tfidf", EVAL_DEPTH, boost=False), terms)
+    baseline = cut(score_vectors(vectors, index, "bm25", EVAL_DEPTH, boost=False, terms=terms))  # a few rows a query, used in three rows
+    tfidf = rerank(score_vectors(vectors, index, "tfidf", EVAL_DEPTH, boost=False, terms=terms), terms)
     qrels = cut(qrels.select("query_id", "doc_id").distinct())
     runs = {"TF-IDF": tfidf, "BM25": rerank(baseline, terms), "No metadata boost": baseline, "After Rocchio feedback": oracle_rocchio(queries, qrels, index, EVAL_DEPTH, stem, stop, baseline)}
     every = None

@@ -8,30 +8,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import K1, TITLE_FACTOR, B
+from ..functions.durable import BROADCAST_BYTES, cut, small
 from ..functions.porter import stem_column
 from ..functions.text import code_words, prose_words, snippet
 
 
+#: What a term and its frequency take in a broadcast table.
+FREQUENCY_BYTES = 96
+#: As many terms or documents are pushed to the scan of postings by name.
+MOST_PUSHED = 2000
+
+
 @dataclass
 class Index:
-    """doc_meta (one row a document), postings (term, doc_id, tf_idf, bm25) and corpus_stats (n_docs, avgdl)."""
+    """doc_meta (one row a document), postings (term, doc_id, tf_idf, bm25) and corpus_stats (n_docs, avgdl).
+
+    postings lie by term where the index was read; postings_by_doc are the same rows by document, if there are any.
+    """
 
     doc_meta: DataFrame
     postings: DataFrame
     corpus_stats: DataFrame
+    postings_by_doc: DataFrame | None = None
 
     def write(self, path: str, files: int | None = None) -> None:
-        """Postings twice: clustered by term for searches, by document for feedback; row groups are pruned by either."""
+        """Postings twice: clustered by term for searches, by document for feedback; row groups are pruned by either.
+
+        A term of very many documents, and a document of very many terms, extend over as many files as they need.
+        """
         self.doc_meta.write.mode("overwrite").parquet(f"{path}/doc_meta")
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
         n = [files] if files else []
-        self.postings.repartitionByRange(*n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings_by_term")
+        self.postings.repartitionByRange(*n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings_by_term")
         scored = self.postings.sparkSession.read.parquet(f"{path}/postings_by_term")  # not to be scored again
-        scored.repartitionByRange(*n, "doc_id").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(f"{path}/postings_by_doc")
+        scored.repartitionByRange(*n, "doc_id", "term").sortWithinPartitions("doc_id", "term").write.mode("overwrite").parquet(f"{path}/postings_by_doc")
 
     @classmethod
     def read(cls, spark, path: str, by: str = "term") -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("doc_meta", f"postings_by_{by}", "corpus_stats")))
+        """The index at path; by: the layout that `postings` scans."""
+        meta, stats, by_term, by_doc = (spark.read.parquet(f"{path}/{t}") for t in ("doc_meta", "corpus_stats", "postings_by_term", "postings_by_doc"))
+        return cls(meta, by_term if by == "term" else by_doc, stats, by_doc)
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings, only of the terms (term) as far as those are few enough to be pushed to the scan by name."""
+        return _pushed(self.postings, terms, "term")
+
+    def of_documents(self, ids: DataFrame) -> DataFrame:
+        """Postings, only of the documents (doc_id) as far as those are few enough, by the layout by document."""
+        return _pushed(self.postings if self.postings_by_doc is None else self.postings_by_doc, ids, "doc_id")
+
+
+def _pushed(postings: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    some = [r[0] for r in wanted.select(key).distinct().limit(MOST_PUSHED + 1).collect()]
+    return postings.where(F.col(key).isin(some)) if len(some) <= MOST_PUSHED else postings
 
 
 def stemmed(terms: DataFrame, word: str = "term") -> DataFrame:
@@ -70,12 +99,27 @@ def document_meta(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("id").alias("doc_id"), "source", "url", "title", snippet(F.coalesce("prose_text", F.lit(""))).alias("snippet"), F.coalesce("score", F.lit(0)).cast("long").alias("score"), F.coalesce("is_accepted", F.lit(False)).alias("is_accepted"))
 
 
+def with_frequencies(postings: DataFrame, df: DataFrame) -> DataFrame:
+    """postings with their terms' document frequencies df (term, df), a cut table.
+
+    A table that fits is broadcast, and postings stay where they are. Else the most frequent terms are, of which there
+    can only be as many as fit, so that no shuffled term has many postings.
+    """
+    if small(df, FREQUENCY_BYTES):
+        return postings.join(F.broadcast(df), "term")
+    least = df.agg(F.sum("df")).first()[0] * FREQUENCY_BYTES / BROADCAST_BYTES  # so often are fewer terms than fit
+    heavy = df.where(F.col("df") > least)
+    met = postings.join(F.broadcast(heavy.withColumnRenamed("df", "__heavy")), "term", "left")
+    light = met.where("__heavy is null").drop("__heavy").join(df, "term")
+    return light.unionByName(met.where("__heavy is not null").withColumnRenamed("__heavy", "df"))
+
+
 def build_index(corpus: DataFrame, stem: bool = True, stop: bool = True, title_factor: float = TITLE_FACTOR) -> Index:
     """Score every posting at build time; a query is then a weighted sum.
 
     With dl the number of a document's distinct terms: tf_idf = ln(N/df)/dl; bm25 is Okapi's with k1 and b, times
     title_factor where the term is in the title, which itself isn't indexed. N and the mean length count documents
-    without terms, too. Terms are shuffled once, by term, for their document frequencies.
+    without terms, too. Document frequencies are counted first, and stored.
     """
     if not stem:
         words = F.array_distinct(F.concat(prose_words(F.col("prose_text"), stop), code_words(F.col("code_text"))))
@@ -86,10 +130,10 @@ def build_index(corpus: DataFrame, stem: bool = True, stop: bool = True, title_f
         dl = terms.groupBy("id").agg(F.count("*").alias("dl"))
         titles = title_terms(corpus, stem, stop).withColumn("in_title", F.lit(True))
         postings = terms.join(dl, "id").join(titles, ["id", "term"], "left").withColumn("in_title", F.coalesce("in_title", F.lit(False)))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(postings.groupBy("term").agg(F.count("*").alias("df")))
     # As a term counts once a document, document frequencies add up to all lengths.
     stats = corpus.agg(F.count("*").alias("n_docs")).crossJoin(df.agg(F.sum("df").alias("total"))).select("n_docs", (F.coalesce("total", F.lit(0)) / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    scored = with_frequencies(postings, df).crossJoin(F.broadcast(stats))  # one row
     n = F.col("n_docs").cast("double")
     norm = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     bm25 = idf(F.col("df"), n) * norm * F.when(F.col("in_title"), title_factor).otherwise(1.0)

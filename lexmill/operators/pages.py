@@ -67,17 +67,17 @@ def wanted_documents(extracted: DataFrame) -> DataFrame:
     return extracted.where(~is_thin(F.col("prose_text"), F.col("code_text")) & ~is_junk_title(F.col("title")))
 
 
-def crawl(pages: DataFrame, seeds: list[str], depth: int = 10, hosts: tuple[str, ...] = HOSTS, most: int | None = None) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame | list[str], depth: int = 10, hosts: tuple[str, ...] = HOSTS, most: int | None = None) -> DataFrame:
     """Breadth-first over a table of fetched pages (url, html, optional content_type): (hop, id and document columns).
 
-    Seeds skip the URL filter. Each hop is one join of the frontier's links with the pages, less those visited. The
+    Seeds, a list or a table (url), skip the URL filter. Each hop is one join of the frontier's links with the pages, less those visited. The
     cap counts documents kept, in order of hop and URL. At most `depth` hops.
     """
     spark = pages.sparkSession
     if "content_type" in pages.columns:
         pages = pages.where(F.contains(F.lower("content_type"), F.lit("html")))
     site = cut(extract_pages(pages.select("url", "html").dropDuplicates(["url"])).drop("html"))  # parsed once
-    frontier = spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
+    frontier = seeds.select("url").distinct() if isinstance(seeds, DataFrame) else spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
     visited, found = frontier, None
     for hop in range(depth):
         here = site.join(frontier, "url").withColumn("hop", F.lit(hop))

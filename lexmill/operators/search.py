@@ -38,13 +38,13 @@ def top(scored: DataFrame, score: str, k: int, rank: str = "rank", then: str = "
     return scored.withColumn(rank, F.row_number().over(order).cast("long")).where(F.col(rank) <= k)
 
 
-def raw_scores(vectors: DataFrame, index: Index, mode: str = "bm25") -> DataFrame:
+def raw_scores(vectors: DataFrame, postings: DataFrame, mode: str = "bm25") -> DataFrame:
     """(query_id, doc_id, raw_score): sums of weight times posting, of terms whose weight is above 0.
 
     A document of which every posting is 0 is still a candidate. Sums are combined before the shuffle by document.
     """
     column = "bm25" if mode == "bm25" else "tf_idf"
-    met = index.postings.select("term", "doc_id", F.col(column).alias("s")).join(vectors.where("weight > 0"), "term")
+    met = postings.select("term", "doc_id", F.col(column).alias("s")).join(vectors.where("weight > 0"), "term")
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("s")).alias("raw_score"))
 
 
@@ -54,14 +54,16 @@ def engine_boost(raw: Column, accepted: Column, source: Column, votes: Column) -
     return s + F.when(votes > 0, VOTE_WEIGHT * F.log1p(votes.cast("double"))).otherwise(0.0)
 
 
-def score_vectors(vectors: DataFrame, index: Index, mode: str = "bm25", top_k: int = 10, boost: bool = True) -> DataFrame:
+def score_vectors(vectors: DataFrame, index: Index, mode: str = "bm25", top_k: int = 10, boost: bool = True, terms: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, doc_id, title, url, snippet, final_score, raw_score, is_accepted, votes, source).
 
     Three times top_k candidates by raw score meet their metadata, so a boost can lift a document by that much only.
-    A candidate without metadata is dropped.
+    A candidate without metadata is dropped. terms: a table that has all terms of the vectors and costs little to
+    compute; those of a small batch are pushed to the scan of postings.
     """
-    cut = top(raw_scores(vectors, index, mode), "raw_score", OVERFETCH * top_k, "raw_rank")
-    met = cut.join(index.doc_meta, "doc_id")
+    postings = index.postings if terms is None else index.of_terms(terms)
+    first = top(raw_scores(vectors, postings, mode), "raw_score", OVERFETCH * top_k, "raw_rank")
+    met = first.join(index.doc_meta, "doc_id")
     votes = F.coalesce("score", F.lit(0))
     final = engine_boost(F.col("raw_score"), F.coalesce("is_accepted", F.lit(False)), F.coalesce("source", F.lit("")), votes) if boost else F.col("raw_score")
     title = F.when(F.coalesce("title", F.lit("")) == "", "(no title)").otherwise(F.col("title"))
@@ -70,7 +72,8 @@ def score_vectors(vectors: DataFrame, index: Index, mode: str = "bm25", top_k: i
 
 
 def search(queries: DataFrame, index: Index, mode: str = "bm25", top_k: int = 10, boost: bool = True, stem: bool = True, stop: bool = True) -> DataFrame:
-    return score_vectors(query_vectors(queries, stem, stop), index, mode, top_k, boost)
+    vectors = query_vectors(queries, stem, stop)
+    return score_vectors(vectors, index, mode, top_k, boost, vectors)
 
 
 def components(terms: Column, flags: dict[str, bool] | None = None) -> dict[str, Column]:

@@ -1,7 +1,7 @@
 """The library's queries over the fixture tables, each with its SQL where SQL can say the same.
 
-Documents stand in for a Q&A corpus: the first line, up to 80 characters, is the title; votes, accepted marks and the
-kind of source are made from other columns and mean nothing in themselves. Benchmark texts are the queries; documents
+Documents stand in for a Q&A corpus: the first line, up to 80 characters, is the title; a call made from language and
+source is the code; votes, accepted marks and the kind of source are made from other columns and mean nothing in themselves. Benchmark texts are the queries; documents
 that contain one are its relevant documents. Most queries leave words unstemmed; `stemmed_search` and
 `stem_vocabulary` stem.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STOP_WORDS
 from ..functions import text as T
+from ..functions.durable import cut
 from ..functions.porter import stem_column, stem_sql
 from ..operators import evaluation, feedback, index, ingest, pages, pooling, robots, search
 from . import sql as S
@@ -43,7 +44,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.substring("source", 4, 10).cast("int") % 3
     return d.join(l, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.when(kind == 0, "stackoverflow").when(kind == 1, "python_docs").otherwise("mdn").alias("source"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("prose_text"), F.lit("").alias("code_text"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("prose_text"),
+        F.concat(F.lit("load"), F.upper("lang"), F.lit("Doc("), "source", F.lit("_"), (F.col("doc_id") % 50).cast("string"), F.lit(")")).alias("code_text"),
         (F.coalesce("quality", F.lit(0)) * (F.col("doc_id") % 100)).cast("long").alias("score"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_accepted"),
     )
 
@@ -57,12 +59,8 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id): documents that contain a query's text. The queries, a fixed set of some hundred rows, are broadcast."""
-    b = batch(spark, sf_dir)
-    if b.limit(10_001).count() > 10_000:
-        raise ValueError("known items are for a small set of queries")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(b), F.contains("text", "query")).select("query_id", "doc_id")
+    """(query_id, doc_id): documents that contain a query's text."""
+    return evaluation.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), batch(spark, sf_dir))
 
 
 def r(name: str, digits: int = SIX):
@@ -77,9 +75,14 @@ def prose_terms(spark, sf_dir):
     return index.prose_terms(corpus(spark, sf_dir), stem=False).withColumnRenamed("id", "doc_id")
 
 
-@register(S.statement([S.CORPUS], f"SELECT id AS doc_id, CAST(len({S.prose('prose_text')}) AS BIGINT) AS dl FROM corpus"))
+@register(S.statement([S.CORPUS], f"SELECT id AS doc_id, unnest({S.document()}) AS term FROM corpus"))
+def document_terms(spark, sf_dir):
+    return index.document_terms(corpus(spark, sf_dir), stem=False).withColumnRenamed("id", "doc_id")
+
+
+@register(S.statement([S.CORPUS], f"SELECT id AS doc_id, CAST(len({S.document()}) AS BIGINT) AS dl FROM corpus"))
 def doc_lengths(spark, sf_dir):
-    return corpus(spark, sf_dir).select(F.col("id").alias("doc_id"), F.size(F.array_distinct(T.prose_words(F.col("prose_text")))).cast("long").alias("dl"))
+    return index.document_terms(corpus(spark, sf_dir), stem=False).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("dl"))
 
 
 @register(S.statement([S.CORPUS], f"SELECT id AS doc_id, unnest({S.title('title')}) AS token FROM corpus"))
@@ -113,7 +116,7 @@ def stem_vocabulary(spark, sf_dir):
 
 @register(S.statement(S.index(), "SELECT term, df FROM df"))
 def doc_frequency(spark, sf_dir):
-    return index.prose_terms(corpus(spark, sf_dir), stem=False).groupBy("term").agg(F.count("*").alias("df"))
+    return index.document_terms(corpus(spark, sf_dir), stem=False).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @register(S.statement(S.index(), "SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM doc_terms) AS n_postings FROM stats"))
@@ -194,10 +197,11 @@ def stemmed_search(spark, sf_dir):
 
 
 def _baseline(spark, sf_dir, k=20):
+    """The index, the queries' terms and vectors, and the first k results, which are stored: queries use them several times."""
     at = built(spark, sf_dir)
-    terms = search.query_terms(batch(spark, sf_dir), stem=False)
+    terms = cut(search.query_terms(batch(spark, sf_dir), stem=False))
     vectors = terms.withColumn("weight", F.lit(1.0))
-    return at, terms, vectors, search.score_vectors(vectors, at, "bm25", k, boost=False)
+    return at, terms, vectors, cut(search.score_vectors(vectors, at, "bm25", k, boost=False, terms=terms))
 
 
 @register(S.statement(_TOP20 + S.rerank("x", "b"), _SHOWN + "x"))
@@ -287,6 +291,14 @@ def pool_union(spark, sf_dir):
     return pooling.build_pool(runs).select("query_id", "doc_id", "title", "first_system", "position")
 
 
+@register(S.statement(_SYSTEMS, "SELECT query_id, doc_id, system AS first_system FROM firsts WHERE query_id NOT IN (SELECT item_id FROM benchmark WHERE item_id % 3 = 0)"))
+def pool_unseen(spark, sf_dir):
+    """The pool of queries that aren't pooled yet; those whose number three divides are."""
+    runs = pooling.system_runs(batch(spark, sf_dir), built(spark, sf_dir), stem=False)
+    known = batch(spark, sf_dir).where("query_id % 3 = 0").select("query_id")
+    return pooling.build_pool(runs, known).select("query_id", "doc_id", "first_system")
+
+
 @register(S.statement([*_SYSTEMS, S.QRELS], "SELECT f.query_id, string_agg(CAST(f.doc_id AS VARCHAR), ',' ORDER BY f.doc_id) AS relevant_doc_ids FROM firsts f JOIN qrels q ON f.query_id = q.query_id AND f.doc_id = q.doc_id GROUP BY f.query_id"))
 def pool_to_qrels(spark, sf_dir):
     runs = pooling.system_runs(batch(spark, sf_dir), built(spark, sf_dir), stem=False)
@@ -327,7 +339,7 @@ def index_snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@register()
+@register(S.statement([*_BASE, *S.score("b", "q0", "bm25", 5, False), "lists AS (SELECT query_id, list(term ORDER BY term) AS terms FROM q_terms GROUP BY query_id)"], "") .rstrip() + "," + S.window_snippet("b", "lists"))
 def query_snippet(spark, sf_dir):
     _, terms, _, b = _baseline(spark, sf_dir, 5)
     lists = terms.groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
@@ -364,7 +376,7 @@ def thin_page_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pages.is_thin(F.col("text"), F.lit("")).alias("thin"))
 
 
-@register()
+@register(S.PAGE)
 def page_extract(spark, sf_dir):
     return pages.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "prose_text", "code_text", "source", F.size("links").cast("long").alias("n_links"))
 
@@ -381,17 +393,20 @@ def robots_gate(spark, sf_dir):
 _ANY = ("example.com", "example.net", "example.org")
 
 
-@register()
+@register(S.LINKS)
 def page_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", r"://[^/]*(example\.[a-z]+)", "://$1"))
     return pages.page_links(p, hosts=_ANY)
 
 
-@register()
+_SEEDS = "regexp_matches(url, '^https?://[^/]*/en/')"
+
+
+@register(S.crawl(_SEEDS, 10))
 def crawl_frontier(spark, sf_dir):
+    """From all English pages to the crawl's own depth."""
     p = table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"://[^/]*(example\.[a-z]+)", "://$1").alias("url"), "html")
-    seeds = [x["url"] for x in p.orderBy("url").limit(20).collect()]
-    return pages.crawl(p, seeds, 3, _ANY).select("id", "hop", "url", "title")
+    return pages.crawl(p, p.where("url rlike '^https?://[^/]*/en/'").select("url"), hosts=_ANY).select("id", "hop", "url", "title")
 
 
 # Questions and answers, rows made here: no fixture table has any.
@@ -412,6 +427,22 @@ def qa_ingest(spark, sf_dir):
     return ingest.ingest_qa(q, a).select("id", "url", "title", "prose_text", "code_text", "score", "is_accepted")
 
 
-@register("SELECT role, count(*) AS n, CAST(sum(turn = 0) AS BIGINT) AS openings FROM conversations GROUP BY role")
-def conversation_queries(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum((F.col("turn") == 0).cast("long")).alias("openings"))
+_QA_CAP = "(0::BIGINT, 'Sort a list?', 5::BIGINT), (1, 'Read a file', 0), (2, 'Answer: Sort a list?', 3)"
+
+
+@register(f"SELECT * FROM (VALUES {_QA_CAP}) t(id, title, score)")
+def qa_cap(spark, sf_dir):
+    """The first three documents, questions before answers."""
+    q = spark.createDataFrame(_QUESTIONS, "Id long, Score long, Title string, Body string, AcceptedAnswerId long")
+    a = spark.createDataFrame(_ANSWERS, "Id long, ParentId long, Score long, Body string")
+    return ingest.ingest_qa(q, a, max_docs=3).select("id", "title", "score")
+
+
+_TURNS = "SELECT conv_id * 100000 + turn AS query_id, text FROM conversations WHERE role = 'user'"
+
+
+@register(S.statement(S.index() + S.queries(texts=_TURNS) + S.score("s", "q0", "bm25", 10, True), _SHOWN + "s"))
+def conversation_search(spark, sf_dir):
+    """What users say in conversations, as queries."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return shown(search.search(turns, built(spark, sf_dir), "bm25", 10, True, stem=False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..constants import (
     ACCEPTED_FACTOR, ALPHA, BETA, EFFECTIVE_STOP_WORDS, GAMMA, HOSTS, JUNK_TITLES, K1, MDN_UNWANTED, OFFICIAL_FACTOR,
-    OFFICIAL_SOURCES, OVERFETCH, PYTHON_UNWANTED, STATIC_FILES, THIN_PROSE, TITLE_BONUS, TITLE_FACTOR, VOTE_WEIGHT, B,
+    OFFICIAL_SOURCES, OVERFETCH, PYTHON_UNWANTED, STATIC_FILES, THIN_CODE, THIN_PROSE, TITLE_BONUS, TITLE_FACTOR, VOTE_WEIGHT, B,
 )
 from ..functions.porter import stem_sql
 
@@ -14,7 +14,7 @@ def texts(values) -> str:
 
 
 CORPUS = """corpus AS (
-  SELECT d.doc_id AS id, substr(split_part(d.text, chr(10), 1), 1, 80) AS title, d.text AS prose_text, 'doc://' || d.doc_id AS url,
+  SELECT d.doc_id AS id, substr(split_part(d.text, chr(10), 1), 1, 80) AS title, d.text AS prose_text, 'doc://' || d.doc_id AS url, 'load' || upper(d.lang) || 'Doc(' || d.source || '_' || (d.doc_id % 50) || ')' AS code_text,
          CASE CAST(substr(d.source, 4) AS INTEGER) % 3 WHEN 0 THEN 'stackoverflow' WHEN 1 THEN 'python_docs' ELSE 'mdn' END AS source,
          CAST(coalesce(l.quality, 0) * (d.doc_id % 100) AS BIGINT) AS score, coalesce(l.quality = 1, false) AS is_accepted
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
@@ -37,15 +37,19 @@ def title(t: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda x: length(x) > 1))"
 
 
+def document() -> str:
+    return f"list_distinct(list_concat({prose('prose_text')}, {code('code_text')}))"
+
+
 def index(stem: bool = False) -> list[str]:
     """corpus, doc_terms, dl, df, stats, title_terms, postings."""
     out = [CORPUS]
     if stem:
         out += [f"raw_terms AS (SELECT id, unnest({prose('prose_text')}) AS term FROM corpus)", f"raw_titles AS (SELECT id, unnest({prose('title')}) AS term FROM corpus)", f"raw_queries AS (SELECT item_id AS query_id, unnest({prose('text')}) AS term FROM benchmark)"]
         out += ["vocabulary AS (SELECT term FROM raw_terms UNION SELECT term FROM raw_titles UNION SELECT term FROM raw_queries)", stem_sql("vocabulary")]
-        out += ["doc_terms AS (SELECT DISTINCT id, w AS term FROM raw_terms JOIN p9 ON term = word)", "title_terms AS (SELECT DISTINCT id, w AS term FROM raw_titles JOIN p9 ON term = word)"]
+        out += [f"doc_terms AS (SELECT id, w AS term FROM raw_terms JOIN p9 ON term = word UNION SELECT id, unnest({code('code_text')}) AS term FROM corpus)", "title_terms AS (SELECT DISTINCT id, w AS term FROM raw_titles JOIN p9 ON term = word)"]
     else:
-        out += [f"doc_terms AS (SELECT id, unnest({prose('prose_text')}) AS term FROM corpus)", f"title_terms AS (SELECT id, unnest({prose('title')}) AS term FROM corpus)"]
+        out += [f"doc_terms AS (SELECT id, unnest({document()}) AS term FROM corpus)", f"title_terms AS (SELECT id, unnest({prose('title')}) AS term FROM corpus)"]
     return out + [
         "dl AS (SELECT id, count(*) AS dl FROM doc_terms GROUP BY id)",
         "df AS (SELECT term, count(*) AS df FROM doc_terms GROUP BY term)",
@@ -57,10 +61,10 @@ def index(stem: bool = False) -> list[str]:
     ]
 
 
-def queries(stem: bool = False) -> list[str]:
-    """q_terms (query_id, term) and q0, the vectors of weight 1, for the benchmark's texts."""
-    by_prose = "SELECT query_id, w AS term FROM raw_queries JOIN p9 ON term = word" if stem else f"SELECT item_id AS query_id, unnest({prose('text')}) AS term FROM benchmark"
-    return [f"q_terms AS ({by_prose} UNION SELECT item_id, unnest({code('text')}) FROM benchmark)", "q0 AS (SELECT query_id, term, 1.0::DOUBLE AS weight FROM q_terms)"]
+def queries(stem: bool = False, texts: str = "SELECT item_id AS query_id, text FROM benchmark") -> list[str]:
+    """q_terms (query_id, term) and q0, the vectors of weight 1, for the texts: the benchmark's, for stems these alone."""
+    by_prose = "SELECT query_id, w AS term FROM raw_queries JOIN p9 ON term = word" if stem else f"SELECT query_id, unnest({prose('text')}) AS term FROM texts"
+    return [f"texts AS ({texts})", f"q_terms AS ({by_prose} UNION SELECT query_id, unnest({code('text')}) FROM texts)", "q0 AS (SELECT query_id, term, 1.0::DOUBLE AS weight FROM q_terms)"]
 
 
 def score(name: str, vectors: str, mode: str, k: int, boost: bool) -> list[str]:
@@ -141,3 +145,57 @@ SELECT page_id, url, CASE WHEN contains(host, 'python.org') THEN 'python_docs' E
 FROM s"""
 JUNK = f"list_bool_or(list_transform([{texts(JUNK_TITLES)}], lambda j: contains(lower(t), j)))"
 THIN = THIN_PROSE
+
+#: Addresses without their hosts' made-up parts, so that links stay on a site.
+SITE_URL = r"regexp_replace(url, '://[^/]*(example\.[a-z]+)', '://\1')"
+LINKS = rf"""
+WITH p AS (SELECT page_id, {SITE_URL} AS url, html FROM pages),
+l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM p)
+SELECT page_id, link FROM l WHERE regexp_matches(link, '^https?://example\.(com|net|org)/') AND NOT regexp_matches(regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1), '(?i)\.({"|".join(STATIC_FILES)})$')"""
+
+
+def _plain(t: str) -> str:
+    """Without the three entities that the pages at hand have in their main text."""
+    return f"replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+def _bare(t: str) -> str:
+    """Pieces of text between tags, stripped, joined by spaces."""
+    return _plain(rf"list_aggregate(list_filter(list_transform(string_split_regex({t}, '<[^>]*>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 'string_agg', ' ')")
+
+
+# The pages at hand have their main text in an article: a heading, then paragraphs, of which one that isn't closed holds
+# all that follow.
+PAGE = rf"""
+WITH a AS (SELECT page_id, url, len(regexp_extract_all(html, '<a href="')) AS n_links, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+s AS (SELECT *, string_split(body, '<p>') AS parts FROM a),
+t AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS k, unnest(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN i = 1 THEN h1 WHEN contains(parts[i], '</p>') THEN split_part(parts[i], '</p>', 1) ELSE array_to_string(parts[i:], '<p>') END)) AS part FROM s),
+b AS (SELECT page_id, k, {_bare("part")} AS words FROM t),
+j AS (SELECT page_id, string_agg(words, ' ' ORDER BY k) FILTER (words <> '') AS prose FROM b GROUP BY page_id)
+SELECT a.page_id, trim(regexp_replace({_plain("list_aggregate(list_transform(string_split_regex(h1, '<[^>]*>'), lambda x: trim(x)), 'string_agg', '')")}, '[^\x00-\x7F]+', '', 'g')) AS title,
+  trim(regexp_replace(replace(coalesce(prose, ''), 'Â', ''), '[^\x00-\x7F]+', ' ', 'g')) AS prose_text, '' AS code_text, CASE WHEN contains(url, 'python.org') THEN 'python_docs' ELSE 'mdn' END AS source, n_links::BIGINT AS n_links
+FROM a JOIN j ON a.page_id = j.page_id"""
+
+
+def crawl(seeds: str, depth: int) -> str:
+    """Pages by hop and address with dense ids, breadth first from the seeds (a condition on url), over LINKS."""
+    return rf"""
+WITH RECURSIVE site AS (SELECT page_id, {SITE_URL} AS url FROM pages), links AS ({LINKS}), text AS ({PAGE}),
+step AS (SELECT DISTINCT s.url AS source_url, l.link FROM links l JOIN site s ON l.page_id = s.page_id),
+reach AS (SELECT DISTINCT url, 0 AS hop FROM site WHERE {seeds} UNION SELECT link, hop + 1 FROM reach JOIN step ON source_url = url WHERE hop + 1 < {depth}),
+first AS (SELECT url, min(hop) AS hop FROM reach GROUP BY url),
+met AS (SELECT f.hop, f.url, t.title, t.prose_text, t.code_text FROM first f JOIN site s ON f.url = s.url JOIN text t ON t.page_id = s.page_id),
+kept AS (SELECT * FROM met WHERE NOT (length(prose_text) < {THIN_PROSE} AND length(code_text) < {THIN_CODE}) AND NOT {JUNK.replace("lower(t)", "lower(title)")})
+SELECT row_number() OVER (ORDER BY hop, url) - 1 AS id, hop, url, title FROM kept"""
+
+
+def window_snippet(results: str, lists: str, width: int = 150) -> str:
+    """query_id, rank, doc_id, snippet: the window with the most matches. Matches come from splitting the text at them."""
+    return rf"""
+w AS (SELECT r.query_id, r.rank, r.doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c.prose_text, '<[^>]+>', '', 'g'), '&\w+;', ' ', 'g'), '\s+', ' ', 'g')) AS bare, '(?i)' || array_to_string(list_transform(l.terms, lambda t: regexp_escape(t)), '|') AS pattern
+      FROM {results} r JOIN corpus c ON r.doc_id = c.id JOIN {lists} l ON r.query_id = l.query_id),
+m AS (SELECT *, list_transform(string_split_regex(bare, pattern), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(bare, pattern), lambda x: length(x)) AS sizes FROM w),
+places AS (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: coalesce(list_sum(gaps[1:i]), 0) + coalesce(list_sum(sizes[1:i - 1]), 0)) AS spots FROM m),
+starts AS (SELECT *, list_transform(spots, lambda p: greatest(0, p - {width // 2})) AS s FROM places),
+counted AS (SELECT *, list_transform(s, lambda x: len(list_filter(spots, lambda p: p >= x AND p < x + {width}))) AS n FROM starts)
+SELECT query_id, rank, doc_id, substr(bare, CASE WHEN len(spots) = 0 OR length(bare) <= {width} THEN 1 ELSE s[list_position(n, list_max(n))] + 1 END::BIGINT, {width}) AS snippet FROM counted"""

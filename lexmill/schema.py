@@ -1,4 +1,4 @@
-"""Schemas of corpora, indexes, queries and judgments."""
+"""Schema of a corpus."""
 
 from pyspark.sql import types as T
 
@@ -8,7 +8,3 @@ CORPUS = T.StructType([
     T.StructField("code_text", T.StringType()), T.StructField("score", T.LongType()),
     T.StructField("is_accepted", T.BooleanType()), T.StructField("snippet", T.StringType()),
 ])
-POSTINGS = "term string, doc_id long, tf_idf double, bm25 double"
-DOC_META = "doc_id long, source string, url string, title string, snippet string, score long, is_accepted boolean"
-QRELS = "query string, relevant_doc_ids array<long>"
-POOL = "query string, doc_id long, title string, url string, snippet string, relevant boolean"

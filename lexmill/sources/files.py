@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_QUERIES
 from ..schema import CORPUS
 
-_POOL_MAP = "map<string, array<struct<doc_id:bigint,title:string,url:string,snippet:string,relevant:boolean>>>"
+_POOL_DOCS = "array<struct<doc_id:bigint,title:string,url:string,snippet:string,relevant:boolean>>"
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -53,28 +53,60 @@ def read_queries(spark: SparkSession, path: str | None = None) -> DataFrame:
     return lines.distinct().select(F.xxhash64("query").alias("query_id"), "query")
 
 
+def _first_line(spark: SparkSession, path: str) -> str:
+    row = spark.read.text(path).where("trim(value) != ''").first()
+    return row["value"].strip() if row else ""
+
+
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
-    """(query, doc_id, title, url, snippet, relevant) of a pool file, an object keyed by query."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", _POOL_MAP).alias("m"))
-    return whole.select(F.explode("m").alias("query", "docs")).select("query", F.explode("docs").alias("d")).select("query", "d.*")
+    """(query, position, doc_id, title, url, snippet, relevant) of a pool.
+
+    Either JSON lines as write_pool writes them, in any number of files, or one object keyed by query. Labels that
+    add_labels has put beside it are in `relevant`.
+    """
+    line = spark.createDataFrame([(_first_line(spark, path),)], "value string").select(F.from_json("value", f"query string, docs {_POOL_DOCS}").alias("j"))
+    if line.where("j.query is not null and j.docs is not null and not startswith(j.query, '[')").isEmpty():
+        every = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {_POOL_DOCS}>")).alias("query", "docs"))
+    else:
+        every = spark.read.schema(f"query string, docs {_POOL_DOCS}").json(path, mode="FAILFAST")
+    return every.select("query", F.posexplode("docs").alias("position", "d")).select("query", (F.col("position") + 1).cast("long").alias("position"), "d.doc_id", "d.title", "d.url", "d.snippet", "d.relevant")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query, doc_id) of a judgment file, an array of {query, relevant_doc_ids}."""
-    rows = spark.read.schema("query string, relevant_doc_ids array<long>").json(path, multiLine=True)
+    """(query, doc_id) of judgments {query, relevant_doc_ids}: JSON lines in any number of files, or one array of them."""
+    lines = not _first_line(spark, path).startswith("[")
+    rows = spark.read.schema("query string, relevant_doc_ids array<long>").json(path, multiLine=not lines, mode="FAILFAST")
     return rows.select("query", F.explode("relevant_doc_ids").alias("doc_id"))
 
 
-def write_pool(pool: DataFrame, queries: DataFrame, path: str) -> None:
+def write_pool(pool: DataFrame, queries: DataFrame, path: str, append: bool = False) -> None:
     """One JSON object a query: {"query": ..., "docs": [...]}; as lines, so that no task holds the whole pool."""
     docs = F.array_sort(F.collect_list(F.struct("position", "doc_id", "title", "url", "snippet", "relevant"))).alias("docs")
-    pool.join(queries, "query_id").groupBy("query").agg(docs).write.mode("overwrite").json(path, ignoreNullFields=False)
+    pool.join(queries, "query_id").groupBy("query").agg(docs).write.mode("append" if append else "overwrite").json(path, ignoreNullFields=False)
 
 
 def write_qrels(qrels: DataFrame, queries: DataFrame, path: str) -> None:
     qrels.join(queries, "query_id").select("query", "relevant_doc_ids").write.mode("overwrite").json(path)
 
 
+_LABELS = "query string, doc_id long, relevant boolean"
+
+
+def add_labels(spark: SparkSession, labels: list[tuple[str, int, bool]], path: str) -> None:
+    """Append an annotator's labels (query, doc_id, relevant) to those beside a pool."""
+    spark.createDataFrame(labels, _LABELS).coalesce(1).write.mode("append").json(f"{path.rstrip('/')}.labels")
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(query, doc_id, relevant) beside a pool; none at first."""
+    try:
+        return spark.read.schema(_LABELS).json(f"{path.rstrip('/')}.labels")
+    except Exception as e:  # Spark's own type depends on its version
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], _LABELS)
+
+
 def pool_file(pool: list[dict]) -> str:
     """The text of a pool file from labelled rows small enough for an annotator to read."""
     by: dict[str, list[dict]] = {}

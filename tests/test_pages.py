@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.html import parse_page, split_body
-from lexmill.operators import ingest, pages
+from lexmill.operators import ingest, pages, session
 from lexmill.sources import files
 
 
@@ -90,7 +90,7 @@ def test_corpus_files(spark, tmp_path):
 
 def test_judgment_files(spark, tmp_path):
     (tmp_path / "pool.json").write_text(files.pool_file([{"query": "q", "doc_id": 1, "title": "t", "url": "u", "snippet": "s", "relevant": True}, {"query": "q", "doc_id": 2, "title": "t", "url": "u", "snippet": "s", "relevant": None}]))
-    assert sorted((r["query"], r["doc_id"], r["relevant"]) for r in files.read_pool(spark, str(tmp_path / "pool.json")).collect()) == [("q", 1, True), ("q", 2, None)]
+    assert [(r["query"], r["position"], r["doc_id"], r["relevant"]) for r in files.read_pool(spark, str(tmp_path / "pool.json")).orderBy("position").collect()] == [("q", 1, 1, True), ("q", 2, 2, None)]
     (tmp_path / "gt.json").write_text(json.dumps([{"query": "q", "relevant_doc_ids": [3, 1]}]))
     assert sorted(tuple(r) for r in files.read_qrels(spark, str(tmp_path / "gt.json")).collect()) == [("q", 1), ("q", 3)]
     queries = spark.createDataFrame([(1, "q")], "query_id long, query string")
@@ -98,3 +98,27 @@ def test_judgment_files(spark, tmp_path):
     assert files.read_qrels(spark, str(tmp_path / "qrels")).count() == 2
     (tmp_path / "queries.txt").write_text("one\n\n  \ntwo\n")
     assert sorted(r["query"] for r in files.read_queries(spark, str(tmp_path / "queries.txt")).collect()) == ["one", "two"]
+
+
+def test_pools_and_judgments_of_many_queries(spark, tmp_path):
+    """What is written in several files is read again whole; labels beside a pool are in it."""
+    names = [(k, f"query {k}" if k else "[odd] {name}") for k in range(50)]
+    queries = spark.createDataFrame(names, "query_id long, query string")
+    rows = [(k, k * 10 + j, f"t{j}", "u", None if j else 's "x"', "bm25", j + 1, None if j % 2 else True) for k in range(50) for j in range(k % 4 + 1)]
+    pool = spark.createDataFrame(rows, "query_id long, doc_id long, title string, url string, snippet string, first_system string, position long, relevant boolean").repartition(6)
+    at = str(tmp_path / "pool")
+    files.write_pool(pool.where("query_id < 30"), queries, at)
+    files.write_pool(pool.where("query_id >= 30"), queries, at, append=True)
+    name = dict(names)
+    want = sorted((name[r[0]], r[6], r[1], r[4], r[7]) for r in rows)
+    assert sorted(tuple(r) for r in files.read_pool(spark, at).select("query", "position", "doc_id", "snippet", "relevant").collect()) == want
+    assert files.read_labels(spark, at).isEmpty()
+    files.add_labels(spark, [("query 3", 31, False)], at)
+    files.add_labels(spark, [("query 3", 33, True)], at)
+    labelled = {(r["query"], r["doc_id"]): r["relevant"] for r in session.labelled_pool(spark, at).collect()}
+    assert labelled[("query 3", 31)] is False and labelled[("query 3", 33)] is True and labelled[("query 3", 30)] is True
+    qrels = spark.createDataFrame([(k, [k, k + 1]) for k in range(50)], "query_id long, relevant_doc_ids array<long>").repartition(7)
+    files.write_qrels(qrels, queries, str(tmp_path / "gt"))
+    assert sorted(tuple(r) for r in files.read_qrels(spark, str(tmp_path / "gt")).collect()) == sorted((name[k], d) for k in range(50) for d in (k, k + 1))
+    (tmp_path / "array.json").write_text(json.dumps([{"query": q, "relevant_doc_ids": [k]} for k, q in names], indent=2))
+    assert files.read_qrels(spark, str(tmp_path / "array.json")).count() == 50

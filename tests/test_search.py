@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,54 @@ def test_index_round_trip(at, spark, tmp_path):
 def test_empty_corpus(spark):
     empty = index.build_index(spark.createDataFrame([], SCHEMA), stem=False)
     assert empty.postings.isEmpty() and empty.corpus_stats.first()["avgdl"] is None
+
+
+def test_plans_of_a_stored_index(at, texts, spark, tmp_path, capsys):
+    """Searches push their terms to the scan, feedback its documents to the layout by document; nothing is a nested loop."""
+    at.write(str(tmp_path / "i"))
+    stored = index.Index.read(spark, str(tmp_path / "i"))
+    search.search(texts, stored, "bm25", 10, False, stem=False).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(term, [" in plan and "postings_by_term" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    judged = spark.createDataFrame([(1, 0, True), (1, 1, False)], "query_id long, doc_id long, relevant boolean")
+    feedback.rocchio(search.query_vectors(texts, stem=False), judged, stored).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(doc_id, [0,1])" in plan and "postings_by_doc" in plan and "postings_by_term" not in plan
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    evaluation.containing(docs, spark.createDataFrame([(1, "one two three four five")], "query_id long, query string")).explain("formatted")
+    assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_frequencies_without_room_for_a_broadcast(spark, monkeypatch):
+    """Frequent terms are broadcast, others shuffled: the same rows as with one broadcast."""
+    rows = [(k, f"w{k % 40}") for k in range(400)] + [(k, "hot") for k in range(900)]
+    postings = spark.createDataFrame(rows, "id long, term string")
+    df = postings.groupBy("term").count().withColumnRenamed("count", "df")
+    want = sorted(tuple(r) for r in index.with_frequencies(postings, df).select("id", "term", "df").collect())
+    monkeypatch.setattr(index, "BROADCAST_BYTES", 960)
+    monkeypatch.setattr(index, "small", lambda *a: False)
+    assert sorted(tuple(r) for r in index.with_frequencies(postings, df).select("id", "term", "df").collect()) == want
+
+
+def test_containing(spark):
+    rng = random.Random(2)
+    words = [" ".join(rng.choice(["ab", "abc", "b", "c,", "d\n", "", "é"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    docs = [(k, None if k == 7 else w) for k, w in enumerate(words)]
+    queries = [(k, None if k == 3 else words[k][rng.randrange(4) : rng.randrange(4, 40)]) for k in range(100)] + [(200, "no such words at all here"), (201, "")]
+    got = evaluation.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, query string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((q, d) for q, x in queries if x for d, t in docs if t and x in t)
+
+
+def test_feedback_asks_only_about_judged_queries(at, spark):
+    asked = []
+
+    def judge(results, k):
+        asked.append({r["query_id"] for r in results.select("query_id").distinct().collect()})
+        return results.where("rank = 1 and query_id = 1").select("query_id", "doc_id", F.lit(True).alias("relevant"))
+
+    two = spark.createDataFrame([(1, "sort list"), (2, "file list")], "query_id long, query string")
+    assert {r["query_id"] for r in feedback.feedback_loop(two, at, judge, stem=False).collect()} == {1, 2}
+    assert asked == [{1, 2}, {1}]
+    asked.clear()
+    feedback.feedback_loop(two, at, lambda results, k: judge(results, k).where("false"), stem=False)
+    assert len(asked) == 1

@@ -55,6 +55,25 @@ PORTER = {
 }
 
 
+#: Published with the algorithm: the first words under consig- to consta- and knack to knots of its sample vocabulary.
+PORTER_SAMPLE = dict(pair.split() for pair in """
+consign consign|consigned consign|consigning consign|consignment consign|consist consist|consisted consist|consistency consist|consistent consist|consistently consist|consisting consist
+consists consist|consolation consol|consolations consol|consolatory consolatori|console consol|consoled consol|consoles consol|consolidate consolid|consolidated consolid|consolidating consolid
+consoling consol|consolingly consolingli|consols consol|consonant conson|consort consort|consorted consort|consorting consort|conspicuous conspicu|conspicuously conspicu|conspiracy conspiraci
+conspirator conspir|conspirators conspir|conspire conspir|conspired conspir|conspiring conspir|constable constabl|constables constabl|constance constanc|constancy constanc|constant constant
+knack knack|knackeries knackeri|knacks knack|knag knag|knave knave|knaves knave|knavish knavish|kneaded knead|kneading knead|knee knee
+kneel kneel|kneeled kneel|kneeling kneel|kneels kneel|knees knee|knell knell|knelt knelt|knew knew|knick knick|knif knif
+knife knife|knight knight|knightly knightli|knights knight|knit knit|knits knit|knitted knit|knitting knit|knives knive|knob knob
+knobs knob|knock knock|knocked knock|knocker knocker|knockers knocker|knocking knock|knocks knock|knopp knopp|knot knot|knots knot
+""".replace("\n", "|").strip("|").split("|"))
+
+
+def test_porter_sample(spark):
+    assert len(PORTER_SAMPLE) == 80
+    words = spark.createDataFrame([(w,) for w in PORTER_SAMPLE], "w string")
+    assert {r["w"]: r["s"] for r in stem_column(words, "w", "s").collect()} == PORTER_SAMPLE
+
+
 def test_porter(spark):
     words = spark.createDataFrame([(w,) for w in PORTER], "w string")
     got = {r["w"]: r["s"] for r in stem_column(words, "w", "s").collect()}
