@@ -198,15 +198,13 @@ def enlarge(points: DataFrame, links: DataFrame, wanted: DataFrame, similarity:
 
 
 def to_audit(points: DataFrame, lists: DataFrame, similarity: float, most: int) -> list:
-    """Points to audit, drawn label by label by hash: up to half of them among those listed beside something nearly linked.
+    """Points to audit, drawn by hash: up to half of them among those listed beside something nearly linked.
 
     Where links are rare, points drawn from all would hardly have any, and the audit would say nothing.
     """
 
     def drawn(of: DataFrame, n: int) -> list:
-        h = F.xxhash64("row")
-        turn = F.row_number().over(Window.partitionBy("part").orderBy(h))
-        return of.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", h).limit(n).select("row", "part", "vec").collect()
+        return of.orderBy(F.xxhash64("row")).limit(n).select("row", "part", "vec").collect()
 
     near = lists.where(F.col("s") >= similarity - MARGIN).select(F.col("a").alias("row")).distinct()
     some = drawn(points.join(near, "row", "left_semi"), most // 2)
