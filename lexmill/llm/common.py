@@ -29,10 +29,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one is set here only if the session names none."""
+    """The checkpoint folder. Where the session names none, a local session gets one of its own; a cluster's raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
     return context.getCheckpointDir()
 
 
@@ -131,6 +134,19 @@ def without(rows: DataFrame, dropped: DataFrame, id_col: str, row_bytes: int = 6
     return rows.join(gone, rows[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their numbers, from 0, in the given order: a range sort, then an offset for each partition. No task sees all."""
+    part, at = free_name(rows, "__part"), free_name(rows, "__at")
+    sorted_ = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}))
+    ends = sorted_.groupBy(part).agg(F.count("*").alias("n"), F.min(at).alias("low")).collect()
+    shift, total = [], 0
+    for r in sorted(ends, key=lambda r: r[part]):
+        shift.append((r[part], total - r["low"]))
+        total += r["n"]
+    moves = rows.sparkSession.createDataFrame(shift, f"`{part}` int, __shift long")  # one row a partition
+    return sorted_.join(F.broadcast(moves), part).withColumn(name, F.col(at) + F.col("__shift")).drop(part, at, "__shift")
+
+
 def components(edges: DataFrame, rounds: int = 60, edges_a_task: int = 200_000) -> DataFrame:
     """Connected components of edges (a, b: long) by alternating large and small stars.
 

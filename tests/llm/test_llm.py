@@ -483,11 +483,25 @@ def test_near_vectors_when_the_audit_fails(spark, monkeypatch):
 # 8: mixing ------------------------------------------------------------------------------------------------------------
 
 
-def test_budgets():
-    assert mixing.budgets([("a", 100), ("b", 100), (None, 100)]) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
-    assert mixing.budgets([]) == {} and mixing.budgets([("a", 0)]) == {"a": 0.0}
-    got = mixing.budgets([(f"s{k}", k + 1) for k in range(9)])
-    assert sum(got.values()) == pytest.approx(1.5 * 45) and all(got[f"s{k}"] <= 2 * (k + 1) + 1e-9 for k in range(9))
+def budgets_by_hand(sizes, weights=mixing.WEIGHTS):
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight, size, out = {x: weights[k % 3] for k, (x, _) in enumerate(order)}, dict(sizes), {}
+    free = set(size)
+    while free:
+        rest, total = 1.5 * sum(size.values()) - sum(out.values()), sum(weight[x] for x in free)
+        full = {x for x in free if rest * weight[x] / total > 2 * size[x]}
+        out |= {x: 2.0 * size[x] for x in full} if full else {x: rest * weight[x] / total for x in free}
+        free -= full or free
+    return out
+
+
+def test_budgets(spark):
+    rng = random.Random(3)
+    cases = [[("a", 100), ("b", 100), (None, 100)], [("a", 0)], [(f"s{k}", k + 1) for k in range(9)], [(f"s{k:04}", int(1000 * rng.random() ** 6)) for k in range(500)] + [("S", 10**6), ("é", 5)]]
+    for sizes in cases:
+        got = {r["source"]: r["target"] for r in mixing.budgets(spark.createDataFrame(sizes, "source string, n long")).collect()}
+        assert got == {x: pytest.approx(t) for x, t in budgets_by_hand(sizes).items()}
+    assert mixing.budgets(spark.createDataFrame([], "source string, n long")).isEmpty()
 
 
 def test_mixing(spark, odd):
@@ -511,6 +525,36 @@ def test_mixing(spark, odd):
     assert {r["size"] for r in mixing.mix(odd).where("doc_id in (1, 2, 3)").collect()} == {0}
 
 
+def test_mixing_with_null_and_repeated_ids(spark, monkeypatch):
+    """A source whose ids are null, or all one, comes near its target all the same; no side is broadcast here."""
+    monkeypatch.setattr(mixing, "small", lambda *a: False)
+    rng = random.Random(8)
+    data = [(None if k % 2 else 7, words_of(rng, rng.randrange(1, 30)), "one" if k % 2 else rng.choice(["two", None])) for k in range(1200)] + [(k, f"w {k}", f"s{k}") for k in range(40)]
+    df = table(spark, data)
+    sizes = Counter()
+    for _, t, x in data:
+        sizes[x] += len(t.split())
+    targets = budgets_by_hand(list(sizes.items()))
+    taken = Counter()
+    for r in mixing.repeat_rows(df).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[x] - targets[x]) <= 30 for x in sizes)
+    by_target = Counter()
+    for r in mixing.mix(df).collect():
+        by_target[round(r["target"], 6)] += r["taken"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    want = Counter()
+    for x in sizes:
+        want[round(targets[x], 6)] += taken[x]
+    assert by_target == want
+
+
+def test_numbered(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 1009).alias("__part"))
+    got = rows(common.numbered(df, [F.col("__part").desc()], "k"), "k", "__part")
+    assert [p for _, p in sorted(got)] == sorted((p for _, p in got), reverse=True) and {k for k, _ in got} == set(range(500))
+
+
 # 9: byte-level BPE ----------------------------------------------------------------------------------------------------
 
 TEXTS = ["Hello, world's  3rd\n\n test", "", "é" * 50, "日本語のテキスト 🙂🙂", "a" * 300, " \t\u00a0 x", "<|endoftext|> don't", "12 3456\r\n7"]
