@@ -1,9 +1,11 @@
 """Quality: overlapping heuristic labellers, their accuracies by expectation-maximisation, and a hashed linear scorer.
 
 Each labeller votes good, bad or nothing on a document. The counts of vote patterns over all documents (3 to the power
-of the labellers at most) are all that expectation-maximisation needs: for either class it estimates how often each
-labeller casts each vote, within a bound on bad votes for good documents. The posterior of a pattern labels its documents, and on those a linear scorer is trained over
-hashed features of word shapes; it alone decides. No label of any table is used.
+of the labellers at most) are all that expectation-maximisation needs. Labellers overlap, so their votes depend on each
+other; what they share are kinds of bad documents. Each document is good or of one of as many hidden kinds as there are
+labellers, and votes are independent within a kind only. For good documents and for every kind it is estimated how often
+each labeller casts each vote, and from these its accuracies. The posterior of a pattern labels its documents, and on
+those a linear scorer is trained over hashed features of word shapes; it alone decides. No label of any table is used.
 """
 
 from __future__ import annotations
@@ -18,16 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_add, arrow_map, free_name
 
-#: The bound of posterior-labelled rows that the scorer is trained on, taken by hash of the text if there are more.
+#: The bound of posterior-labelled distinct texts that the scorer is trained on: those of the least hashes.
 MAX_TRAINING = 12_000
 HASHED = 1024
 THRESHOLD = 0.5
 LABELLERS = ("repeats", "symbols", "variety", "capitals", "letterless", "marked ends", "sentences", "top word", "word length", "short words")
 
 
-#: A labeller calls good documents bad this often at most. Kinds of junk that few labellers see would otherwise pass for
-#: good ones, as the votes of one class are taken to be independent.
-MOST_WRONG = 0.004
 #: Marks that end no ordinary word.
 MARKS = "#$%&*|~^@"
 #: Words that a worker remembers.
@@ -117,30 +116,55 @@ def votes(r: np.ndarray) -> str:
     ))
 
 
-def expectation_maximisation(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
+def expectation_maximisation(patterns: dict[str, int], rounds: int = 300) -> tuple[dict[str, float], np.ndarray, float]:
     """Posterior of good for each pattern, P(vote | class, a vote is cast) as class x labeller x (g, b), and the prior of good.
 
-    No vote tells nothing.
+    The classes are good and bad; bad is a mixture of kinds, one for each labeller to begin with, of which those stay
+    that the counts call for. No vote tells nothing.
     """
     keys = sorted(patterns)
     if not keys:
         return {}, np.zeros((2, 0, 2)), 0.5
     one = np.array([[["gb".find(c) == v for v in range(2)] for c in k] for k in keys], float)
     n = np.array([patterns[k] for k in keys], float)
-    bad = one[:, :, 1].sum(1)
-    post = np.where(bad > 0, 0.15, 0.95)  # where to start: any bad vote is a reason for doubt
+    bad = one[:, :, 1]
+    against = bad.sum(1, keepdims=True)
+    # where to start: the more votes against a document the likelier it is bad, of the kinds of those who cast them
+    good = np.where(against > 0, 0.5 / (1 + against), 0.98)
+    post = np.concatenate([good, (1 - good) * np.where(against > 0, bad / np.maximum(against, 1), 1 / bad.shape[1])], 1)
+    post, prior, table, fit_ = _settled(one, n, post, rounds)
+    kind = 1
+    while post.shape[1] > 2 and kind < post.shape[1]:
+        # a kind that the counts don't call for, by the Bayesian criterion, is but the false alarms of a labeller
+        without = np.delete(post, kind, 1)
+        without[:, 0] += post[:, kind]
+        fewer = _settled(one, n, without, rounds)
+        if fewer[3] > fit_ - 0.5 * (bad.shape[1] + 1) * np.log(n.sum()):
+            post, prior, table, fit_ = fewer
+        else:
+            kind += 1
+    kinds = np.einsum("k,klv->lv", prior[1:], table[1:]) / prior[1:].sum()
+    return dict(zip(keys, post[:, 0].tolist(), strict=True)), np.stack([table[0], kinds]), float(prior[0])
+
+
+def _settled(one: np.ndarray, n: np.ndarray, post: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Posteriors, priors, vote rates and the logarithm of the likelihood when expectation-maximisation has settled."""
     for _ in range(rounds):
-        prior = float((post @ n + 1) / (n.sum() + 2))
-        table = np.stack([((p * n)[:, None, None] * one).sum(0) + s for p, s in ((post, [0.5, 0.01]), (1 - post, [0.5, 0.5]))])
+        w = post * n[:, None]
+        prior = (w.sum(0) + 1) / (n.sum() + w.shape[1])
+        table = np.einsum("pk,plv->klv", w, one) + 0.1
         table /= table.sum(2, keepdims=True)
-        table[0, :, 1] = np.minimum(table[0, :, 1], MOST_WRONG)
-        table[0, :, 0] = 1 - table[0, :, 1]
-        log = [np.log(q) + (one * np.log(t)).sum((1, 2)) for q, t in ((prior, table[0]), (1 - prior, table[1]))]
-        new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
-        if np.abs(new - post).max() < 1e-9:
-            break
+        log = np.log(prior) + np.einsum("plv,klv->pk", one, np.log(table))
+        top = log.max(1, keepdims=True)
+        new = np.exp(log - top)
+        total = new.sum(1, keepdims=True)
+        new /= total
+        moved = np.abs(new - post).max()
         post = new
-    return dict(zip(keys, post.tolist(), strict=True)), table, prior
+        if moved < 1e-7:
+            break
+    order = np.argsort(table[:, :, 1].sum(1), kind="stable")  # good is the class that the fewest votes are against
+    return post[:, order], prior[order], table[order], float(n @ (top + np.log(total))[:, 0])
 
 
 def train_linear(x: np.ndarray, y: np.ndarray, steps: int = 500, l2: float = 1e-5) -> np.ndarray:
@@ -168,20 +192,23 @@ def fit(docs: DataFrame, text_col: str, max_training: int = MAX_TRAINING) -> tup
     n = sum(counts.values())
     if not n:
         return np.zeros(HASHED + 1), posterior
-    spread = F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1_000_000)) / 1e6
-    some = docs.where(F.col(text_col).isNotNull()).where(spread < max_training / n).select(text_col).limit(max_training)
+    hashed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col, F.lit(11)).alias("h"), text_col)
+    least = hashed.select("h").distinct().orderBy("h").limit(max_training).agg(F.max("h")).first()[0]
 
     def rows():
-        shapes = Shapes()
+        shapes, met = Shapes(), set()
 
-        def run(texts):
-            got = [m for t in texts if (m := measures(t, shapes))]
-            at = [np.flatnonzero(x) for _, x in got]
-            return [[posterior.get(votes(r), 0.5) for r, _ in got], [a.astype(np.int32) for a in at], [x[a] for (_, x), a in zip(got, at, strict=True)]]
+        def run(hashes, texts):
+            new = {h: t for h, t in zip(hashes, texts, strict=True) if h not in met}
+            met.update(new)  # as many as are trained on at most
+            got = {h: m for h, t in new.items() if (m := measures(t, shapes))}
+            at = [np.flatnonzero(x) for _, x in got.values()]
+            return [list(got), [posterior.get(votes(r), 0.5) for r, _ in got.values()], [a.astype(np.int32) for a in at], [x[a] for (_, x), a in zip(got.values(), at, strict=True)]]
 
         return run
 
-    got = arrow_map(some, [text_col], "p double, k array<int>, x array<float>", rows).toPandas()
+    made = arrow_map(hashed.where(F.col("h") <= least), ["h", text_col], "h long, p double, k array<int>, x array<float>", rows)
+    got = made.groupBy("h").agg(F.min_by(F.struct("p", "k", "x"), "p").alias("m")).select("h", "m.*").toPandas().sort_values("h")
     if got.empty:
         return np.append(np.zeros(HASHED), 5.0), posterior
     x = np.zeros((len(got), HASHED), np.float32)
@@ -215,7 +242,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """One row per document: doc_id, score (of being good), posterior (the weak label's), kept (score >= threshold).
 
     A null, empty or blank text has no word: score 0, posterior null, not kept. Patterns are counted over all
-    documents. Repeated rows are scored each; other columns are not read. No rows in, no rows out.
+    documents, and the scorer's training texts are distinct and taken in order, so that reruns agree. Repeated rows are
+    scored each; ids are not read but returned; other columns are not read. No rows in, no rows out.
     """
     out = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "score", "posterior")
     return out.select("doc_id", "score", "posterior", (F.col("score") >= threshold).alias("kept"))
