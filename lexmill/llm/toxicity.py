@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .boosting import Boosted, isotonic
 from .common import arrow_map, cut
 
-#: The bound of labelled rows that the classifier is fitted on, taken by hash of the id if there are more.
+#: The bound of labelled ids that the classifier is fitted on: those of the least hashes.
 MAX_LABELLED = 20_000
 LEXICON = 4000
 STEMS = (4, 5, 6)
@@ -138,14 +138,16 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int = MAX_LABELLED) -> Scorer:
-    """Fit on labelled documents whose crc32(id as text) mod 3 isn't 1: 7 in 10 for lexicon and trees, 3 for calibration."""
+    """Fit on labelled documents whose crc32(id as text) mod 3 isn't 1: 7 in 10 for lexicon and trees, 3 for calibration.
+
+    The labelled ids of the least hashes, at most max_labelled; of rows that share an id one.
+    """
     spark = docs.sparkSession
-    key = F.crc32(F.col("doc_id").cast("string"))
-    own = labels.where("doc_id is not null and toxic is not null").where(key % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    n = own.count()
-    own = own.where(spread < max_labelled / max(n, 1)).limit(max_labelled).select(F.col("doc_id").alias("__id"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 7).alias("fitting"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", "fitting")
+    order = F.xxhash64("doc_id")
+    own = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = own.orderBy(order, "doc_id").limit(max_labelled).select(F.col("doc_id").alias("__id"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 7).alias("fitting"))
+    met = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("__id"))
+    rows = met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"), F.first("fitting").alias("fitting"))
     lexicon = learn_lexicon(rows.where("fitting").select("text", "toxic"))
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labe
 
         return run
 
-    got = arrow_map(rows, ["doc_id", "text", "toxic", "fitting"], "doc_id long, x array<double>, toxic int, fitting boolean", make).orderBy("doc_id").toPandas()
+    got = arrow_map(rows, ["doc_id", "text", F.col("toxic").cast("int"), "fitting"], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>, toxic int, fitting boolean", make).orderBy("doc_id").toPandas()
     y = got["toxic"].to_numpy(float)
     prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     if not 0 < y.sum() < len(y):
@@ -175,8 +177,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null and empty texts have features of zero and are scored like any other. Without labels of both kinds in the
     training part every score is the rate of toxic labels there, 0 without any. Labels of a document that disagree:
-    the highest counts. Null labels and ids are not learned from; a null id is scored, and held_out is null.
-    Other columns are not read; repeated rows are scored each.
+    the highest counts. Null labels and ids are not learned from; a null id is scored, and counts as an empty one for
+    held_out. Ids may be of any type that labels and documents share. Other columns are not read; repeated rows are
+    scored each. No rows in, no rows out.
     """
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
@@ -191,4 +194,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     out = arrow_map(docs, [id_col, text_col], f"doc_id {kind}, score double, predicted int", make)
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1).alias("held_out"), "score", "predicted")

@@ -12,7 +12,7 @@ import tiktoken
 from compare import same
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, common, exact_dedup, lbl, lm, minhash, mixing, pii, quality, queries, toxicity, url_filter, vectors
+from lexmill.llm import boosting, bpe, common, exact_dedup, lbl, lm, minhash, mixing, pii, quality, queries, toxicity, url_filter, vectors
 
 DOCS = "doc_id long, text string, source string, TEXT_SHA256 string, row long, kept string, n long"  # names that results use, too
 
@@ -123,15 +123,81 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
     assert got[10_000]["score"] == got[10_001]["score"] < 0.5
-    assert got[None]["held_out"] is None
+    assert got[None]["held_out"] is False
 
 
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r["score"] for r in toxicity.toxicity(odd, none).collect()} == {0.5} or {r["score"] for r in toxicity.toxicity(odd, none).collect()} == {0.0}
+    assert [r["score"] for r in toxicity.toxicity(odd, none).collect()] == [0.0] * len(ODD)
     assert toxicity.toxicity(odd.where("false"), none).isEmpty()
 
 
+def slow_features(text, lexicon):
+    """Every feature word by word, by definition."""
+    text = text or ""
+    w = toxicity._WORD.findall(text.lower())
+    if not w:
+        return [0.0] * toxicity.FEATURES
+
+    def own(x):
+        return max([lexicon.get(x, 0.0)] + [lexicon.get(x[:k] + "*", 0.0) for k in (4, 5, 6)])
+
+    odd = [not x.isalpha() and not x.isdigit() for x in w]
+    weight = [max(own(x), own(re.sub(r"[\W\d_]", "", x.translate(toxicity.LEET)))) if o else own(x) for x, o in zip(w, odd, strict=True)]
+    at = [i for i, x in enumerate(weight) if x]
+    near = sum(any(abs(i - j) <= 4 and w[j] in toxicity.SECOND_PERSON for j in range(len(w))) for i in at)
+    exact = sum(w[i] in lexicon for i in at)
+    n, k, tokens = len(w), len(at), text.split()
+    return [
+        math.log(1 + n), k / n, math.log(1 + k), exact / n, math.log(1 + exact), sum(weight) / n, max(weight), math.log(1 + sum(weight)), near / k if k else 0, math.log(1 + near),
+        sum(x in toxicity.SECOND_PERSON for x in w) / n, len({w[i] for i in at}), sum(x.isupper() for x in tokens) / len(tokens), sum(not (c.isalnum() or c == "_" or c.isspace()) for c in text) / len(text), sum(odd) / n,
+    ]
+
+
+def test_toxic_features_against_a_slow_version():
+    rng = random.Random(7)
+    lexicon = {"idiot": 3.5, "idio*": 2.0, "stupi*": 2.5, "trash": 4.0, "scum*": 1.5}
+    pieces = ["you", "Dein", "idiot", "IDIOT!", "id1ot", "i-d-i-o-t", "stupidly", "trash,", "tr@sh", "scumbag", "scum", "ok", "12", "a1", "Étude", "they", "vous...", "!!!", "x_y"]
+    hits = toxicity.Hits(lexicon)
+    for _ in range(500):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        assert toxicity.features(text, hits) == pytest.approx(slow_features(text, lexicon)), text
+    assert toxicity.features(None, hits) == slow_features(None, lexicon)
+
+
+def test_isotonic_against_max_min():
+    """Isotonic regression is, at each point, the greatest over starts of the least over ends of the mean between.
+
+    Its level stretches are the blocks, each at the mean of its margins, with a little of one half mixed in.
+    """
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x = rng.permutation(30).astype(float)
+        y = (rng.random(30) < x / 30).astype(float)
+        at, level = boosting.isotonic(x, y)
+        s = y[np.argsort(x)]
+        want = [max(min(s[j : k + 1].mean() for k in range(i, 30)) for j in range(i + 1)) for i in range(30)]
+        groups = [np.flatnonzero(np.isclose(want, v)) for v in sorted({round(v, 9) for v in want})]
+        assert at == pytest.approx([g.mean() for g in groups])
+        assert level == pytest.approx([(want[g[0]] * len(g) + 0.02) / (len(g) + 0.04) for g in groups])
+
+
+def test_toxicity_of_string_ids_and_a_hot_id(spark):
+    """Ids of text, an id that occurs very often, labels that disagree; and the same scores when rows are dealt otherwise."""
+    data = toxic_corpus(600)
+    docs = [(f"d{k}", t) for k, t, _ in data] + [("d8", data[8][1])] * 3000 + [(None, "you idiot"), ("d9", None), ("long", "word " * 50_000)]
+    labels = [(f"d{k}", y) for k, _, y in data] + [("d3", 0), ("d4", 0), (None, 1), ("d7", None)]
+    df = spark.createDataFrame([(*d, "z", 1) for d in docs], "doc_id string, text string, x string, fitting int")
+    own = spark.createDataFrame(labels, "doc_id string, toxic int")
+    got = toxicity.toxicity(df, own).collect()
+    truth = {f"d{k}": y for k, _, y in data}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth and r["doc_id"] != "d9"]
+    assert len(got) == len(docs) and sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+    again = toxicity.toxicity(df.repartition(5), own).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert {r["held_out"] for r in got if r["doc_id"] == "d8"} == {zlib.crc32(b"d8") % 3 == 1}
+
+
 # 4: quality -----------------------------------------------------------------------------------------------------------
 
 
