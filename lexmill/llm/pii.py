@@ -3,8 +3,10 @@
 Seeds are e-mail addresses, IP addresses, card and phone numbers. The words before an identifier, and a key it is
 written behind, are lexical patterns; identifiers and patterns form a graph over the whole corpus. In each round a
 pattern's confidence is the mean belief in the identifiers that it extracts, and an identifier's belief comes from the
-patterns around it; seeds are believed outright. Patterns of high confidence and enough distinct seeds then mark
-identifiers that no seed rule knows. One pass reads the texts; the graph holds only tokens that look like identifiers.
+confident patterns around it; seeds are believed outright. A pattern is accepted if it is confident and its identifiers'
+beliefs add up to enough, whether seeds or found ones, so that found identifiers bring in further patterns, until none
+comes. Accepted patterns mark identifiers that no seed rule knows. One pass reads the texts; the graph holds only tokens
+that look like identifiers.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, small
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS = 2
 CONFIDENCE = 0.8
-#: Distinct seeds that a pattern must extract.
+#: What the beliefs in a pattern's distinct identifiers must add up to.
 SUPPORT = 5
+#: An identifier that is no seed has a digit, and so many characters.
+SHORTEST = 4
+#: A longer word stands in a pattern by its hash.
+WORD_LENGTH = 40
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,8 +35,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_TRIM = re.compile(r"^[\"'(\[{<]*(?:([A-Za-z_][A-Za-z_.-]*[=:])[\"']?)?(.*?)[\"')\]}>.,;:!?]*$", re.DOTALL)
+#: Tokens end at white space and at what separates fields.
+_TOKEN = re.compile(r"[^\x20\x09-\x0D;,|&]+")
+_KEY = re.compile(r"([A-Za-z_][A-Za-z_.-]*+[=:])[\"']?")
+_OPEN, _CLOSE = "\"'([{<", "\"')]}>.:!?"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -80,10 +87,15 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def _word(w: str) -> str:
+    w = "".join(_LETTERS.findall(w.lower()))
+    return w if len(w) <= WORD_LENGTH else f"#{xxhash.xxh64_hexdigest(w)}"
+
+
 def patterns(before: list[str], key: str | None) -> list[str]:
     """Lexical patterns of a token: the key it is written behind, the word before it, the two words before it."""
-    words = ["".join(_LETTERS.findall(w.lower())) for w in before]
-    out = [f"k {key.lower()}"] if key else []
+    words = [_word(w) for w in before]
+    out = [f"k {_word(key)}"] if key else []
     if words and words[-1]:
         out.append(f"1 {words[-1]}")
         if len(words) > 1 and words[-2]:
@@ -91,26 +103,37 @@ def patterns(before: list[str], key: str | None) -> list[str]:
     return out
 
 
+def parts(token: str) -> tuple[int, str | None, int]:
+    """Where a token's value begins, the key before it, and where the value ends: without quotes, brackets and marks around."""
+    begin = len(token) - len(token.lstrip(_OPEN))
+    m = _KEY.match(token, begin)
+    if m:
+        begin = m.end()
+    return begin, m[1] if m else None, max(begin, len(token.rstrip(_CLOSE)))
+
+
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int, bool, list[str]]]:
-    """(start, end, hash, whether it is a seed, patterns) of tokens that hold a digit or touch a seed."""
+    """(start, end, hash, whether it is a seed, patterns) of seeds, and of tokens beside them that hold a digit."""
     out, before, k = [], [], 0
     covered = 0
     for m in _TOKEN.finditer(text):
         start, end = m.span()
         while k < len(base) and base[k][2] <= start:
             k += 1
-        seed = base[k] if k < len(base) and base[k][0] < end else None
-        if seed is not None:
-            if seed[0] >= covered:  # once a seed, at its first token
-                key = _TRIM.match(text[start : seed[0]]) if seed[0] - start <= 60 else None
-                out.append((seed[0], seed[2], xxhash.xxh64_intdigest(text[seed[0] : seed[2]]) - (1 << 63), True, patterns(before, key[1] if key else None)))
-                covered = seed[2]
-        elif start >= covered and end - start <= 200 and _DIGIT.search(m[0]):
-            t = _TRIM.match(m[0])
-            a, b = start + t.start(2), start + t.end(2)
-            if b - a >= 5 and sum(map(str.isdigit, text[a:b])) >= 3:
-                out.append((a, b, xxhash.xxh64_intdigest(text[a:b]) - (1 << 63), False, patterns(before, t[1])))
-        before = [*before[-1:], m[0] if end - start <= 40 else ""]
+        met, j = False, k
+        while j < len(base) and base[j][0] < end:  # a token may hold several seeds, and a seed several tokens
+            a, _, b = base[j]
+            if a >= covered:  # once a seed, at its first token
+                key = parts(text[start:a])[1] if a > start else None
+                out.append((a, b, xxhash.xxh64_intdigest(text[a:b]) - (1 << 63), True, patterns(before, key)))
+                covered = b
+            met, j = True, j + 1
+        if not met and start >= covered and _DIGIT.search(m[0]):
+            low, key, high = parts(m[0])
+            if high - low >= SHORTEST and _DIGIT.search(m[0], low, high):
+                a, b = start + low, start + high
+                out.append((a, b, xxhash.xxh64_intdigest(text[a:b]) - (1 << 63), False, patterns(before, key)))
+        before = [*before[-1:], m[0]]
     return out
 
 
@@ -138,21 +161,29 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(arrow_map(docs, [id_col, text_col], schema, make).withColumn("row", F.monotonically_increasing_id()))
 
 
-def confident(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """(pattern) of high confidence in the graph of edges (pattern, id, seed).
+def confident(edges: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT) -> DataFrame:
+    """(pattern, conf) of the accepted patterns in the graph of edges (pattern, id, seed); cut.
 
-    Sums are pre-aggregated by pattern and by identifier, so that a word before a third of all numbers is no hot task.
+    Beliefs only grow, and so do the accepted patterns: a round that adds none is the last. Sums are pre-aggregated by
+    pattern and by identifier, and what either is joined with is broadcast if it is small by count, so that a word before
+    a third of all numbers is no hot task; larger ones are joined like any skewed key.
     """
     graph = cut(edges.groupBy("pattern", "id").agg(F.max("seed").alias("seed")))
-    belief = graph.withColumn("belief", F.col("seed").cast("double"))
-    scored = None
-    for k in range(rounds):
-        scored = cut(belief.groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 0.5)).alias("conf"), F.sum(F.col("seed").cast("long")).alias("seeds")).where(F.col("conf") > 0.05))
-        if k + 1 < rounds:
-            miss = graph.join(scored, "pattern", "left").withColumn("conf", F.least(F.coalesce("conf", F.lit(0.0)), F.lit(0.99)))
-            by_id = miss.groupBy("id").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("b"))
-            belief = graph.join(by_id, "id").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.col("b")))
-    return scored.where((F.col("conf") >= confidence) & (F.col("seeds") >= support)).select("pattern")
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = cut(graph.where("seed").select("id", F.lit(1.0).alias("belief")).distinct())
+    believed, before = seeds, -1
+    while True:
+        met = graph.select("pattern", "id").join(F.broadcast(believed) if small(believed, 48) else believed, "id")
+        sums = met.groupBy("pattern").agg(F.sum("belief").alias("s")).where(F.col("s") >= support)
+        scored = sums.join(sizes, "pattern").withColumn("conf", F.col("s") / (F.col("n") + 0.5))
+        accepted = cut(scored.where(F.col("conf") >= confidence).select("pattern", "conf"))
+        now = accepted.count()
+        if now == before or not now:
+            return accepted
+        before = now
+        own = graph.where("not seed").join(F.broadcast(accepted) if small(accepted, 96) else accepted, "pattern")
+        found = own.groupBy("id").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.99)))))).alias("belief"))
+        believed = cut(seeds.unionByName(found.join(seeds.select("id"), "id", "left_anti")))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +196,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = extract(docs, id_col, text_col)
     met = rows.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.end", "f.id", "f.seed", F.explode("f.patterns").alias("pattern"))
-    good = cut(confident(met.select("pattern", "id", "seed")))
+    good = confident(met.select("pattern", "id", "seed")).select("pattern")
     good = F.broadcast(good) if small(good, 96) else good
     found = met.where("not seed").join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("k"), "end")).alias("more"))
     found = cut(found)
