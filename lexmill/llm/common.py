@@ -127,6 +127,25 @@ def small(df: DataFrame, row_bytes: int) -> bool:
     return df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES
 
 
+#: Keys that join_spread broadcasts, at most.
+HEAVY_KEYS = 50_000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with table, a cut table of one row a key (long) that says in column n how many rows the key has.
+
+    The keys of the most rows, of which there can be no more than HEAVY_KEYS, are broadcast; their rows are spread by a
+    hash of themselves in the shuffled join of the others, so that no task gets a hot key.
+    """
+    names = [c for c in table.columns if c != key]
+    least = (table.agg(F.sum(n)).first()[0] or 0) / HEAVY_KEYS
+    held = table.select(F.col(key).alias("__key"), F.struct(*names).alias("__own"), (F.col(n) > least).alias("__heavy"))
+    heavy = F.broadcast(held.where("__heavy").select(F.col("__key").alias(key), F.col("__own").alias("__near")))
+    met = rows.join(heavy, key, "left").withColumn("__key", F.when(F.col("__near").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    far = met.join(held.where("not __heavy").select("__key", F.col("__own").alias("__far")), "__key", "left")
+    return far.withColumn("__own", F.coalesce("__near", "__far")).where("__own is not null").select(*rows.columns, *(F.col(f"__own.{c}").alias(c) for c in names))
+
+
 def without(rows: DataFrame, dropped: DataFrame, id_col: str, row_bytes: int = 64) -> DataFrame:
     """Rows whose id isn't among dropped.id: at the map side if that table is small by count, else by a shuffled anti-join."""
     gone = dropped.select(F.col(dropped.columns[0]).alias("__gone")).distinct()

@@ -10,12 +10,15 @@ rarest to the most frequent, two such classes share one of their first `coordina
 class has is a place skipped without posting: a class with fewer than `least` shared tokens posts nothing at all. What
 is posted are the rarest shared tokens, so a line that half the corpus has is almost never among them.
 
-A posting list is never expanded into its pairs while one comparison with a leader may join its members: some rounds
-compare each member with one leader, if their signatures agree in `least` coordinates, on the full sets. Members that
-are in one component by then need no comparison with each other. In the lists whose members are still apart, signatures
-are searched breadth first for candidates between components; a task returns no more candidates than a forest of them
-has. The trees of that forest, which hold only sets that look alike, are compared exactly in blocks: a task holds the
-full sets of two blocks and returns no more links than join what was apart.
+A posting list is never expanded into its pairs. Collisions are first counted with one leader of each list: a member
+meets the leader with which it shares the most lists, and they are compared on the full sets if their signatures agree
+in `least` coordinates. Members that are in one component by then need no comparison with each other. In the lists whose
+members are still apart, collisions are counted by merging: the task of a list posts its members under their
+coordinate-value pairs, and goes breadth first from member to member, merging only the shortest of a member's lists, as
+many as the prefix has; lists of the member alone are skipped, and only who turns up has its other coordinates counted.
+A task returns no more candidates than a forest of them has. The trees of that forest, which hold only sets that look
+alike, are compared exactly in blocks: a task holds the full sets of two blocks and returns no more links than join what
+was apart.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut, free_name, small
+from .common import arrow_map, components, cut, free_name, join_spread, small
 
 COORDINATES = 64
 #: The chance that a pair of similarity 0.8 agrees in fewer of 64 coordinates is 4e-5.
@@ -122,8 +125,9 @@ def postings(classes: DataFrame, share: float) -> DataFrame:
     large = classes.where("large is not null").select("node", "n", F.lit(0).alias("way"), F.lit(LEAST).alias("least"), F.explode("large").alias("token"))
     little = classes.where("little is not null").select("node", "n", F.lit(1).alias("way"), F.ceil(F.col("n") * share - 1e-9).cast("int").alias("least"), F.explode("little").alias("token"))
     tokens = large.unionByName(little)
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(often, "token").groupBy("node", "n", "way", "least").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    often = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    met = join_spread(tokens, often, "token", "df")
+    shared = met.groupBy("node", "n", "way", "least").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     taken = shared.withColumn("k", F.size("t") - F.col("least") + 1).where("k > 0")
     return cut(taken.select("node", "n", F.explode(F.expr("slice(t, 1, k)")).alias("p")).select("node", "n", "p.token").distinct())
 
@@ -209,8 +213,8 @@ def _components(docs, id_col, text_col, width, similarity, rows, names, posts) -
     near = (F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9)
     agree = F.size(F.filter(F.arrays_zip("x", "y"), lambda z: z["x"] == z["y"]))
     for turn in range(LEADER_ROUNDS):
-        lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), F.xxhash64("node", F.lit(turn)).alias("g"), "node", "n", "root")).alias("lead"))
-        met = open_.join(lead, "token").where(F.col("root") != F.col("lead.root")).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
+        lead = open_.groupBy("token").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), F.xxhash64("node", F.lit(turn)).alias("g"), "node", "n", "root")).alias("lead"), F.count("*").alias("df"))
+        met = join_spread(open_, cut(lead.where("df > 1")), "token", "df").where(F.col("root") != F.col("lead.root")).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
         met = met.where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).join(tested, ["a", "b"], "left_anti")
         pairs = cut(met.groupBy("a").agg(F.max(F.struct("k", "b", "na", "nb")).alias("m")).select("a", "m.b", F.least("m.na", "m.nb").alias("low")))
         signed = pairs.where(F.col("low") > LITTLE).join(signs.select(F.col("node").alias("a"), F.col("large").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("large").alias("y")), "b").where(agree >= LEAST)
@@ -258,10 +262,41 @@ def in_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return one.unionByName(more.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o")).drop("blocks")
 
 
+class Merged:
+    """Posting lists of some signatures by coordinate and value."""
+
+    def __init__(self, brief: np.ndarray, signed: np.ndarray):
+        self.brief, at = brief, np.flatnonzero(signed)
+        order = np.argsort(brief[at], 0, kind="stable")
+        values = np.take_along_axis(brief[at], order, 0)
+        self.members = at[order]  # column by column the members, those of one list beside each other
+        edge = np.ones((len(at) + 1, brief.shape[1]), bool)
+        edge[1:-1] = values[1:] != values[:-1]
+        place = np.arange(len(at) + 1)[:, None]
+        low = np.maximum.accumulate(np.where(edge[:-1], place[:-1], 0), 0)
+        high = np.minimum.accumulate(np.where(edge[1:], place[1:], len(at))[::-1], 0)[::-1]
+        self.low, self.high = (np.zeros((len(brief), brief.shape[1]), np.int32) for _ in range(2))
+        for whole, own in ((self.low, low), (self.high, high)):
+            np.put_along_axis(whole, self.members, own.astype(np.int32), 0)
+
+    def meet(self, x: int, allowed: np.ndarray, least: int) -> np.ndarray:
+        """Allowed members that agree with x in `least` coordinates: the prefix is merged, the rest counted of whom it has."""
+        size = self.high[x] - self.low[x]
+        prefix = np.argsort(size, kind="stable")[: len(size) - least + 1]
+        merged = [self.members[self.low[x, c] : self.high[x, c], c] for c in prefix.tolist() if size[c] > 1]
+        if not merged:
+            return np.empty(0, np.int64)
+        met = np.zeros(len(allowed), bool)
+        met[np.concatenate(merged)] = True
+        found = np.flatnonzero(met & allowed)
+        return found[(self.brief[found] == self.brief[x]).sum(1) >= least]
+
+
 def forest_of_candidates(node, root, n, block, brief, little: dict[int, np.ndarray], similarity: int) -> list[tuple[int, int]]:
     """Breadth first over one list: edges between candidates of different components, as many as a forest has.
 
     Arrays by member; little: tokens of little sets by place. Members of two blocks are compared across these alone.
+    Two little sets are counted by their tokens, all others by their coordinates.
     """
     share, out = similarity / 100, []
     if (root == root[0]).all():
@@ -271,32 +306,29 @@ def forest_of_candidates(node, root, n, block, brief, little: dict[int, np.ndarr
         for t in tokens.tolist():
             posts.setdefault(t, []).append(k)
     crossed = (block != block[0]).any()
-    waiting = np.arange(len(node))
+    signed, small_ = n >= LARGE, n <= LITTLE
+    lists = Merged(brief, signed)
+    waiting = np.ones(len(node), bool)
     queue: list[int] = []
-    while len(waiting):
-        if not queue:
-            queue.append(int(waiting[0]))
-            waiting = waiting[1:]
-        x = queue.pop()
-        fits = (root[waiting] != root[x]) & (n[waiting] >= share * n[x] - 1e-9) & (share * n[waiting] <= n[x] + 1e-9)
-        if crossed:
-            fits &= block[waiting] != block[x]
-        at = np.flatnonzero(fits)
-        if not len(at):
+    for first in range(len(node)):
+        if not waiting[first]:
             continue
-        other = waiting[at]
-        hit = (brief[other] == brief[x]).sum(1) >= LEAST
-        if n[x] <= LITTLE:
-            both = np.zeros(len(node), np.int64)
-            for t in little[x].tolist():
-                both[posts[t]] += 1
-            small_ = n[other] <= LITTLE
-            hit[small_] = (100 * both[other] >= similarity * (n[other] + n[x] - both[other]))[small_]
-        found = other[hit]
-        if len(found):
-            keep = np.ones(len(waiting), bool)
-            keep[at[hit]] = False
-            waiting = waiting[keep]
+        queue.append(first)
+        waiting[first] = False
+        while queue:
+            x = queue.pop()
+            fits = waiting & (root != root[x]) & (n >= share * n[x] - 1e-9) & (share * n <= n[x] + 1e-9)
+            if crossed:
+                fits &= block != block[x]
+            if not fits.any():
+                continue
+            found = lists.meet(x, fits & ~small_ if small_[x] else fits, LEAST) if signed[x] else np.empty(0, np.int64)
+            if small_[x]:
+                both = np.zeros(len(node), np.int64)
+                for t in little[x].tolist():
+                    both[posts[t]] += 1
+                found = np.concatenate([found, np.flatnonzero(fits & small_ & (both > 0) & (100 * both >= similarity * (n + n[x] - both)))])
+            waiting[found] = False
             queue.extend(found.tolist())
             out.extend((int(node[x]), int(node[y])) for y in found)
     return out

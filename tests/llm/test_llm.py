@@ -912,6 +912,35 @@ def test_keep_one_with_null_and_clashing_ids(spark):
     assert kept.columns == df.columns
 
 
+def test_merged_lists_against_plain_counting():
+    """Who agrees in enough coordinates: prefix and skip find all of them and nobody else."""
+    rng = np.random.default_rng(1)
+    for size in (2, 40, 300):
+        base = rng.integers(-30_000, 30_000, (5, 64)).astype(np.int16)
+        brief = base[rng.integers(0, 5, size)]
+        change = rng.random(brief.shape) < rng.random((size, 1)) * 0.6
+        brief[change] = rng.integers(-5, 5, change.sum())
+        signed, allowed = rng.random(size) < 0.9, rng.random(size) < 0.8
+        lists = minhash.Merged(brief, signed)
+        for x in np.flatnonzero(signed):
+            others = allowed & signed
+            want = np.flatnonzero(others & ((brief == brief[x]).sum(1) >= minhash.LEAST))
+            got = lists.meet(int(x), others, minhash.LEAST)
+            assert set(got) | {x} == set(want) | {x}
+
+
+def test_join_spread(spark, monkeypatch):
+    """Heavy keys are broadcast, others shuffled: the same rows as by a plain join."""
+    monkeypatch.setattr(common, "HEAVY_KEYS", 3)
+    rng = random.Random(3)
+    data = [(k, rng.choice([1, 1, 1, 2, 2] + list(range(3, 90)))) for k in range(900)]
+    df = spark.createDataFrame(data, "a long, k long")
+    side = df.where("k % 7 != 0").groupBy("k").agg(F.count("*").alias("n"), F.min("a").alias("m"))
+    got = sorted(rows(common.join_spread(df, side, "k", "n"), "a", "k", "n", "m"))
+    assert got == sorted(rows(df.join(side, "k"), "a", "k", "n", "m"))
+    assert common.join_spread(df, side.where("false"), "k", "n").isEmpty()
+
+
 def test_linked_pairs():
     rng = np.random.default_rng(0)
     for _ in range(15):
