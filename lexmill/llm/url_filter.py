@@ -91,14 +91,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, def
 
 
 def _by_join(split: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
-    """The same by a shuffled join: each page meets the rules of its host suffixes and whole-segment path prefixes."""
+    """The same by a shuffled join: each page meets the rules of its host suffixes and whole-segment path prefixes.
+
+    Only suffixes and prefixes of as many labels and segments as some rule has are looked up.
+    """
     spark = split.sparkSession
     table = spark.createDataFrame([(k, h.lower(), p[: p.rfind("/") + 1], p, h + p, v) for k, (h, p, v) in enumerate(rules)], "k long, rule_host string, stem string, rule_path string, rule string, rule_verdict string")
     rows = split.withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    some_labels = F.array(*map(F.lit, sorted({h.count(".") + 1 for h, _, _ in rules})))
+    suffixes = F.transform(F.filter(some_labels, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     segments = F.split("path", "/")
-    stems = F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/"))))
+    some_segments = F.array(*map(F.lit, sorted({p.count("/") for _, p, _ in rules})))
+    stems = F.transform(F.filter(some_segments, lambda i: i < F.size(segments)), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/"))))
     keys = rows.select("row", "path", F.explode(suffixes).alias("rule_host"), stems.alias("stems")).select("row", "path", "rule_host", F.explode("stems").alias("stem"))
     best = keys.join(table, ["rule_host", "stem"]).where("startswith(path, rule_path)").groupBy("row").agg(F.max(F.struct(F.size(F.split("rule_host", r"\.")).alias("n"), F.length("rule_path").alias("m"), "k", "rule", "rule_verdict")).alias("b"))
     return rows.join(best, "row", "left").select("page_id", "host", "path", "b.rule", F.coalesce("b.rule_verdict", F.lit(default)).alias("verdict"))

@@ -116,8 +116,9 @@ def start(points: DataFrame, tables: int, first: int, sizes: dict[str, int], k:
         return run
 
     dealt = arrow_map(points, ["row", "part", "vec"], f"row long, grp string, vec {points.schema['vec'].dataType.simpleString()}, salt long", make)
-    crowd = dealt.groupBy("grp").agg(F.ceil(F.count("*") / (2.0 * GROUP)).cast("long").alias("m"))
-    dealt = dealt.join(crowd, "grp").withColumn("salt", F.pmod("salt", "m"))
+    # only crowded groups have more than one part; where they are too many to broadcast, a crowded key is split like any skewed one
+    crowd = cut(dealt.groupBy("grp").agg(F.ceil(F.count("*") / (2.0 * GROUP)).cast("long").alias("m")).where("m > 1"))
+    dealt = dealt.join(F.broadcast(crowd) if small(crowd, 256) else crowd, "grp", "left").withColumn("salt", F.pmod("salt", F.coalesce("m", F.lit(1))))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
@@ -273,8 +274,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         counted, roots = enlarge(points, links, points.select("row"), similarity)
     own = points.join(roots.withColumnRenamed("node", "row"), "row", "left").join(counted, "row", "left")
     own = own.select("digest", "least_id", F.coalesce("root", "row").alias("root"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-    least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    settled = cut(own.join(least, "root").select("digest", "n", "component_id"))
+    least = cut(own.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    settled = cut(own.join(F.broadcast(least) if small(least, 64) else least, "root").select("digest", "n", "component_id"))
     settled = F.broadcast(settled) if small(settled, 128) else settled
     out = rows.select("vec_id", "digest").join(settled, "digest", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

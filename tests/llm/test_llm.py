@@ -69,6 +69,9 @@ def test_url_rules(spark, limit, more):
     rules = url_filter.RULES + more
     got = {r[0]: r[1:] for r in rows(url_filter.judge(pages, rules, rule_bytes=limit), "page_id", "host", "path", "rule", "verdict")}
     assert got == {k: by_definition(u, rules) for k, u in enumerate(URLS)}
+    long = ["https://" + "a." * 20_000 + "example.net/en/" + "x/" * 20_000, "http://c.org/fr/" + "y" * 100_000 + "?q"]
+    again = url_filter.judge(spark.createDataFrame([(k % 2, long[k % 2], "h") for k in range(6)] + [(None, long[1], "h")], pages.schema), rules, rule_bytes=limit).collect()
+    assert Counter((r["page_id"], r["path"], r["rule"]) for r in again) == Counter((k, by_definition(u, rules)[1], by_definition(u, rules)[2]) for k, u in [(0, long[0]), (1, long[1])] * 3 + [(None, long[1])])
     assert url_filter.judge(pages.where("false")).isEmpty()
 
 
@@ -1013,3 +1016,14 @@ def test_pipeline(spark, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert {r[0] for r in rows(last, "doc_id")} == after["source_mixing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    """Null and empty texts go, repeated rows become one, and nothing crashes; an empty table gives no rows."""
+    import corpus_pipeline
+
+    for name, df in (("odd", odd), ("empty", odd.where("false"))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()}
+    assert got <= {None, 5, 6, 7, 8} and not {7, 8} <= got
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).isEmpty()
