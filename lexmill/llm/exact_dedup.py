@@ -3,13 +3,14 @@
 A text's digest is SHA-256 of the text with each run of ASCII white space made one space. `approx_top_k`, whose sketch
 is the Misra-Gries family of counters, proposes at most `candidates` digests; their true counts are taken, and those
 that hold at least one in `candidates` rows (and 64) are the winners: a table of at most `candidates` rows, broadcast,
-that settles each of their rows where it lies. No digest that is left can hold more than a few in `candidates` rows,
-so the rest go through one ordinary shuffle of (id, digest) without a hot key.
+that settles each of their rows where it lies. No digest that is left can hold more than a few in `candidates` rows.
+The rest are counted by ordinary shuffling, pre-aggregated, and only those with copies are joined back, so that no task
+holds all rows of a digest however many these are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, cut, free_name, small
@@ -38,10 +39,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     winners = true.where(F.col("n") >= least)
     marked = d.join(F.broadcast(winners), "digest", "left")
     heavy = marked.where("n is not null").select("doc_id", F.col("least_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("least_row")).alias("kept"), "digest")
-    same = Window.partitionBy("digest")
-    first = same.orderBy(F.col("doc_id").asc_nulls_last(), "row")
-    light = marked.where("n is null").select(
-        "doc_id", F.first("doc_id").over(first).alias("keep_id"), F.count("*").over(same).alias("group_size"), (F.row_number().over(first) == 1).alias("kept"), "digest"
+    rest = marked.where("n is null").select("doc_id", "digest", "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = cut(rest.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1"))
+    met = rest.join(F.broadcast(groups) if small(groups, 96) else groups, "digest", "left")
+    light = met.select(
+        "doc_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept"), "digest"
     )
     return heavy.unionByName(light).withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 

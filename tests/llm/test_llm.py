@@ -89,8 +89,10 @@ def exact_by_hand(rows_):
     return Counter(out)
 
 
-@pytest.mark.parametrize("case", ["odd", "hot", "empty"])
-def test_exact_dedup(spark, odd, case):
+@pytest.mark.parametrize(("case", "fits"), [("odd", True), ("hot", True), ("hot", False), ("empty", True)])
+def test_exact_dedup(spark, odd, case, fits, monkeypatch):
+    if not fits:  # groups are shuffled instead of broadcast
+        monkeypatch.setattr(exact_dedup, "small", lambda *a: False)
     many = [(k, "hot  text" if k % 3 == 0 else f"t{k % 300}", "s") for k in range(1500, 0, -1)] + [(9, "hot text", "s")] * 2
     data = {"odd": ODD, "hot": many, "empty": []}[case]
     df = table(spark, data)
