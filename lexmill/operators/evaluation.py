@@ -54,9 +54,14 @@ def containing(docs: DataFrame, queries: DataFrame, width: int = 3) -> DataFrame
 
 
 def _runs(words: Column, width: int) -> Column:
-    """All runs of `width` words, joined by spaces."""
-    n = F.size(words) - width
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+    """All runs of `width` words, joined by spaces. The words are bound once, as a variable: a lambda would split anew for each run."""
+
+    def runs(w: Column) -> Column:
+        n = F.size(w) - width
+        every = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(w, i + 1, F.lit(width))))
+        return F.when(n >= 0, every).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.array(words), runs))
 
 
 def metrics_per_query(results: DataFrame, qrels: DataFrame, by: list[str] | None = None) -> DataFrame:
