@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from ..constants import ACCEPTED_FACTOR, OFFICIAL_FACTOR, OFFICIAL_SOURCES, OVERFETCH, TITLE_BONUS, VOTE_WEIGHT
 from ..functions.text import code_words, prose_words, title_words
+from .batches import top_candidates
 from .index import Index, stemmed
 
+#: A batch of more terms, counted by query, is scored in blocks instead of by a join of its terms with the postings.
+MOST_JOINED = 20_000
 FLAGS = {"accepted": True, "docs": True, "votes": True, "title": True}
 
 
@@ -48,6 +51,20 @@ def raw_scores(vectors: DataFrame, postings: DataFrame, mode: str = "bm25") -> D
     return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("s")).alias("raw_score"))
 
 
+def first_candidates(vectors: DataFrame, index: Index, mode: str, k: int, terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, raw_score): the k best of each query, of equal ones those with the least document ids.
+
+    A join with the postings makes a row for each pair of a query and a document that share a term, which grows with
+    both tables; large batches go another way, to the same rows.
+    """
+    if vectors.limit(MOST_JOINED + 1).count() <= MOST_JOINED:
+        postings = index.postings if terms is None else index.of_terms(terms)
+        return top(raw_scores(vectors, postings, mode), "raw_score", k, "raw_rank").drop("raw_rank")
+    stats = index.corpus_stats.first()
+    postings = index.postings.select("term", "doc_id", F.col("bm25" if mode == "bm25" else "tf_idf").alias("s"))
+    return top_candidates(vectors.where("weight > 0"), postings, stats["n_docs"], round(stats["n_docs"] * (stats["avgdl"] or 0)), k)
+
+
 def engine_boost(raw: Column, accepted: Column, source: Column, votes: Column) -> Column:
     s = raw * F.when(accepted, ACCEPTED_FACTOR).otherwise(1.0)
     s = s * F.when(source.isin(*OFFICIAL_SOURCES), OFFICIAL_FACTOR).otherwise(1.0)
@@ -61,9 +78,7 @@ def score_vectors(vectors: DataFrame, index: Index, mode: str = "bm25", top_k: i
     A candidate without metadata is dropped. terms: a table that has all terms of the vectors and costs little to
     compute; those of a small batch are pushed to the scan of postings.
     """
-    postings = index.postings if terms is None else index.of_terms(terms)
-    first = top(raw_scores(vectors, postings, mode), "raw_score", OVERFETCH * top_k, "raw_rank")
-    met = first.join(index.doc_meta, "doc_id")
+    met = first_candidates(vectors, index, mode, OVERFETCH * top_k, terms).join(index.doc_meta, "doc_id")
     votes = F.coalesce("score", F.lit(0))
     final = engine_boost(F.col("raw_score"), F.coalesce("is_accepted", F.lit(False)), F.coalesce("source", F.lit("")), votes) if boost else F.col("raw_score")
     title = F.when(F.coalesce("title", F.lit("")) == "", "(no title)").otherwise(F.col("title"))
