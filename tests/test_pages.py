@@ -57,6 +57,18 @@ def test_crawl(spark):
     assert pages.crawl(df, [host + "a.html"], most=2).count() == 2
 
 
+def test_crawl_of_addresses_with_several_pages(spark):
+    """Each page of an address is a document, also one that repeats, and the links of all are followed."""
+    host = "https://docs.python.org/3/"
+
+    def page(title, *links):
+        return f"<h1>{title}</h1><article><p>" + "word " * 40 + "".join(f'<a href="{x}">l</a>' for x in links) + "</p></article>"
+
+    df = spark.createDataFrame([(host + "a.html", page("Two", "c.html")), (host + "a.html", page("One", "b.html")), (host + "b.html", page("Same")), (host + "b.html", page("Same")), (host + "c.html", page("Last", "a.html"))], "url string, html string")
+    got = [(r["id"], r["hop"], r["url"][-6:], r["title"]) for r in pages.crawl(df.repartition(5), [host + "a.html"]).orderBy("id").collect()]
+    assert got == [(0, 0, "a.html", "One"), (1, 0, "a.html", "Two"), (2, 1, "b.html", "Same"), (3, 1, "b.html", "Same"), (4, 1, "c.html", "Last")]
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = [(r["id"], r["k"]) for r in pages.with_dense_ids(df, ["k"], start=5).orderBy("id").collect()]
