@@ -399,6 +399,37 @@ def test_lm_rounds_in_many_tasks(spark, monkeypatch):
     assert got[0] > got[1] + 0.3
 
 
+@pytest.mark.parametrize("texts", [3, 200, 30_000])
+def test_lm_targets_are_all_tokens_at_any_size(texts):
+    """Each token is learned from once, in few texts and in many, in blocks that don't depend on what comes later."""
+    words = [f"w{i}" for i in range(90)] + [lm.END]
+    v = lm.Vocabulary.make(words, np.arange(len(words), 0, -1), np.arange(lm.KINDS) % lbl.CLASSES)
+    stream = v.code(pa.array([" ".join(f"w{(i * j) % 97}" for j in range(i % 199)) for i in range(texts)]))
+    tokens = len(stream.codes)
+
+    class Seen:
+        seen = 0
+
+        def __init__(self):
+            self.slots, self.blocks = np.zeros((lbl.CLASSES, lbl.SLOTS), int), []
+
+        def learn(self, before, classes, slots, rng):
+            assert before.shape == (lbl.PLACES, len(classes))
+            np.add.at(self.slots, (classes, slots), 1)
+            self.blocks.append(len(classes))
+
+    net, used = Seen(), np.zeros(lm.INPUTS + lm.KINDS, np.float32)
+    assert lm.learn(net, stream, v, used, np.random.default_rng(1)) == tokens == net.seen
+    want = np.zeros_like(net.slots)
+    np.add.at(want, (v.classes[stream.codes], v.slots[stream.codes]), 1)
+    assert (net.slots == want).all() and used.sum() == lbl.PLACES * tokens
+    at, k = [], 0
+    while k < tokens:
+        at.append(min(max(32, k // 1024), 1024, tokens - k))
+        k += at[-1]
+    assert net.blocks == at
+
+
 def test_network_learns_and_is_normalised():
     """Each word is followed by one of two: noise-contrastive estimation finds them, and the softmax agrees with a slow one."""
     rng = np.random.default_rng(4)
