@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,12 +25,14 @@ class Index:
     """doc_meta (one row a document), postings (term, doc_id, tf_idf, bm25) and corpus_stats (n_docs, avgdl).
 
     postings lie by term where the index was read; postings_by_doc are the same rows by document, if there are any.
+    score_only, where postings are scored on the way, scores those of a table of terms (term, ..., each once) alone.
     """
 
     doc_meta: DataFrame
     postings: DataFrame
     corpus_stats: DataFrame
     postings_by_doc: DataFrame | None = None
+    score_only: Callable[[DataFrame], DataFrame] | None = None
 
     def write(self, path: str, files: int | None = None) -> None:
         """Postings twice: clustered by term for searches, by document for feedback; row groups are pruned by either.
@@ -133,11 +136,15 @@ def build_index(corpus: DataFrame, stem: bool = True, stop: bool = True, title_f
     df = cut(postings.groupBy("term").agg(F.count("*").alias("df")))
     # As a term counts once a document, document frequencies add up to all lengths.
     stats = corpus.agg(F.count("*").alias("n_docs")).crossJoin(df.agg(F.sum("df").alias("total"))).select("n_docs", (F.coalesce("total", F.lit(0)) / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
-    scored = with_frequencies(postings, df).crossJoin(F.broadcast(stats))  # one row
     n = F.col("n_docs").cast("double")
     norm = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     bm25 = idf(F.col("df"), n) * norm * F.when(F.col("in_title"), title_factor).otherwise(1.0)
-    return Index(document_meta(corpus), scored.select("term", F.col("id").alias("doc_id"), (F.log(n / F.col("df")) / F.col("dl")).alias("tf_idf"), bm25.alias("bm25")), stats)
+
+    def scored(frequencies: DataFrame) -> DataFrame:
+        met = with_frequencies(postings, frequencies).crossJoin(F.broadcast(stats))  # one row
+        return met.select("term", F.col("id").alias("doc_id"), (F.log(n / F.col("df")) / F.col("dl")).alias("tf_idf"), bm25.alias("bm25"))
+
+    return Index(document_meta(corpus), scored(df), stats, None, lambda terms: scored(cut(df.join(terms.select("term"), "term", "left_semi"))))
 
 
 def lookup(index: Index, term: str) -> DataFrame:

@@ -61,7 +61,11 @@ def first_candidates(vectors: DataFrame, index: Index, mode: str, k: int, terms:
         postings = index.postings if terms is None else index.of_terms(terms)
         return top(raw_scores(vectors, postings, mode), "raw_score", k, "raw_rank").drop("raw_rank")
     stats = index.corpus_stats.first()
-    postings = index.postings.select("term", "doc_id", F.col("bm25" if mode == "bm25" else "tf_idf").alias("s"))
+
+    def postings(terms: DataFrame) -> DataFrame:
+        rows = index.postings if index.score_only is None else index.score_only(terms)
+        return rows.select("term", "doc_id", F.col("bm25" if mode == "bm25" else "tf_idf").alias("s"))
+
     return top_candidates(vectors.where("weight > 0"), postings, stats["n_docs"], round(stats["n_docs"] * (stats["avgdl"] or 0)), k)
 
 
